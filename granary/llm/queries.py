@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP5_SQL, op5_mixing
+from .pieces import op2_sentencepiece
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .sharding import op4_sharding
 
 QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
     "op6_line_dedup": op6_line_dedup,
