@@ -52,7 +52,7 @@ class PieceModel:
                     merges[left << SHIFT | right] = i
         self.pair_keys = np.array(sorted(merges), np.int64)
         self.pair_ids = np.array([merges[k] for k in sorted(merges)], np.int64)
-        self.pair_ranks = rank[self.pair_ids].astype(np.int64)
+        self.ranks = np.r_[rank[self.pair_ids].astype(np.int64), NEVER]  # place -1, no pair, is the last
         #: Characters that stand side by side in some piece; between others no merge can reach.
         self.touching = np.array(sorted(touching), np.int64)
         self.splits_at_blank = not any(p[k] == SPACE != p[k - 1] for p in pieces for k in range(1, len(p)))
@@ -96,25 +96,29 @@ class PieceModel:
         word = np.repeat(np.arange(len(words)), [len(w) for w in words])
         if not len(chars):
             return chars, word
-        symbols = self.char_id[chars]
+        symbols, ranked = self.char_id[chars], self.ranks
         # segments: stretches that no merge can leave
         new = np.r_[True, (word[1:] != word[:-1]) | (self.find(chars[:-1] << SHIFT | chars[1:], self.touching) < 0)]
         segment, at = np.cumsum(new) - 1, np.arange(len(symbols))
         out_symbol, out_at = [], []
+
+        def places(i: np.ndarray) -> np.ndarray:
+            """Places in the table of the pairs that start at i; -1 across segments."""
+            j = np.minimum(i + 1, len(symbols) - 1)
+            found = self.find(symbols[i] << SHIFT | symbols[j], self.pair_keys)
+            found[(j == i) | (segment[i] != segment[j])] = -1
+            return found
+
+        place = places(np.arange(len(symbols)))
         while len(symbols):
-            place = np.full(len(symbols), -1)
-            inside = np.flatnonzero(segment[1:] == segment[:-1])
-            place[inside] = self.find(symbols[inside] << SHIFT | symbols[inside + 1], self.pair_keys)
-            ranks = np.where(place >= 0, self.pair_ranks[place], NEVER)
+            ranks = ranked[place]
             starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
             best = np.minimum.reduceat(ranks, starts)
-            sizes = np.diff(np.r_[starts, len(symbols)])
-            least = np.repeat(best, sizes)
-            done = least == NEVER
-            if done.any():  # compaction: segments without a pair leave
-                out_symbol.append(symbols[done])
-                out_at.append(at[done])
-                stay = ~done
+            least = np.repeat(best, np.diff(np.r_[starts, len(symbols)]))
+            stay = least != NEVER
+            if not stay.all():  # compaction: segments without a pair leave
+                out_symbol.append(symbols[~stay])
+                out_at.append(at[~stay])
                 symbols, segment, at, place, ranks, least = (x[stay] for x in (symbols, segment, at, place, ranks, least))
                 if not len(symbols):
                     break
@@ -124,13 +128,16 @@ class PieceModel:
             run = np.maximum.accumulate(np.where(fresh, np.arange(len(hits)), 0))
             hits = hits[(np.arange(len(hits)) - run) % 2 == 0]
             merged = self.pair_ids[place[hits]]
-            first = np.r_[True, segment[hits[1:]] != segment[hits[:-1]]]
-            go = first | self.at_once[merged]
+            go = np.r_[True, segment[hits[1:]] != segment[hits[:-1]]] | self.at_once[merged]
             hits, merged = hits[go], merged[go]
             symbols[hits] = merged
             stay = np.ones(len(symbols), bool)
             stay[hits + 1] = False
-            symbols, segment, at = symbols[stay], segment[stay], at[stay]
+            symbols, segment, at, place = (x[stay] for x in (symbols, segment, at, place))
+            moved = hits - np.arange(len(hits))  # where the merged symbols are now
+            place[moved] = places(moved)
+            before = moved[moved > 0] - 1
+            place[before] = places(before)
         symbols, at = np.concatenate(out_symbol), np.concatenate(out_at)
         order = np.argsort(at, kind="stable")
         return symbols[order], word[at[order]]

@@ -6,6 +6,7 @@ from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP5_SQL, op5_mixing
 from .pieces import op2_sentencepiece
 from .quality_rules import OP10_SQL, op10_quality_rules
+from .token_files import op7_token_files
 from .sharding import op4_sharding
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
     "op6_line_dedup": op6_line_dedup,
+    "op7_token_files": op7_token_files,
     "op10_quality_rules": op10_quality_rules,
 }
 
