@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -159,32 +160,34 @@ class WordEncoder:
 
     def learn(self, words: list[str]) -> None:
         """Runs of letters are encoded once, whatever signs follow them; the rest of the words as they are."""
-        plain, foreign, odd = set(), set(), []
-        split = []
+        letters, cache, tokenize = self.letters, self.cache, self.model.tokenize
+        foreign, odd = [], []
         for w in words:
             core = w.rstrip(self.SIGNS)
             if not core.isalpha():
                 odd.append(w)
-                continue
-            if core.isascii():
-                core = core.lower()
-                plain.add(core)
+            elif core.isascii():
+                low = core.lower()
+                ids = letters.get(low)
+                if ids is None:
+                    ids = letters[low] = array("I", [t.id for t in tokenize(low)]).tobytes()
+                cache[w] = ids if len(core) == len(w) else ids + self.signs(w[len(core) :])
             else:
-                foreign.add(core)
-            split.append((w, core))
-        for core in plain - self.letters.keys():
-            self.letters[core] = np.array([t.id for t in self.model.tokenize(core)], "<u4").tobytes()
-        new = list(foreign - self.letters.keys())
+                foreign.append((w, core))
+        new = list({core for _, core in foreign if core not in letters})
         for i in range(0, len(new), 200):
-            self.letters.update(zip(new[i : i + 200], self.joined(new[i : i + 200])))
-        tails = list({w[len(core) :] for w, core in split} - self.letters.keys())
-        self.letters.update(zip(tails, self.whole(tails)))
-        for w, core in split:
-            self.cache[w] = self.letters[core] + self.letters[w[len(core) :]]
-        self.cache.update(zip(odd, self.whole(odd)))
+            letters.update(zip(new[i : i + 200], self.joined(new[i : i + 200])))
+        for w, core in foreign:
+            cache[w] = letters[core] if len(core) == len(w) else letters[core] + self.signs(w[len(core) :])
+        cache.update(zip(odd, self.whole(odd)))
+
+    def signs(self, tail: str) -> bytes:
+        if tail not in self.letters:
+            self.letters[tail] = self.whole([tail])[0]
+        return self.letters[tail]
 
     def encode(self, texts: list[str], tail: bytes) -> list[bytes]:
-        split = [t.translate(BLANKS).split(" ") for t in texts]
+        split = [blanks(t).split(" ") for t in texts]
         for held in (self.cache, self.letters):
             if len(held) > self.CACHE_WORDS:
                 held.clear()
@@ -195,7 +198,11 @@ class WordEncoder:
         return [b"".join(map(get, ws)) + tail for ws in split]
 
 
-BLANKS = str.maketrans("\t\n\x0b\f\r", "     ")
+def blanks(t: str) -> str:
+    for c in "\n\t\r\x0b\f":
+        if c in t:
+            t = t.replace(c, " ")
+    return t
 
 
 @lru_cache(maxsize=2)
