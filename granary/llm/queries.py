@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP5_SQL, op5_mixing
+from .ngram_join import OP1_SQL, op1_ngram_jaccard_join
 from .pieces import op2_sentencepiece
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .token_files import op7_token_files
 from .sharding import op4_sharding
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
@@ -18,4 +20,4 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-SQL = {"op5_mixing": OP5_SQL, "op6_line_dedup": OP6_SQL, "op10_quality_rules": OP10_SQL}
+SQL = {"op1_ngram_jaccard_join": OP1_SQL, "op5_mixing": OP5_SQL, "op6_line_dedup": OP6_SQL, "op10_quality_rules": OP10_SQL}
