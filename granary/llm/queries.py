@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fingerprints import op8_fingerprints
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP5_SQL, op5_mixing
 from .ngram_join import OP1_SQL, op1_ngram_jaccard_join
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_line_dedup": op6_line_dedup,
     "op7_token_files": op7_token_files,
+    "op8_fingerprints": op8_fingerprints,
     "op10_quality_rules": op10_quality_rules,
 }
 
