@@ -132,7 +132,7 @@ class WordEncoder:
     tokens hold none, so the ids of a text are those of its words.
     """
 
-    CACHE_WORDS = 300_000
+    CACHE_WORDS, CACHE_LETTERS = 400_000, 700_000
     #: Signs that end a word's run of letters and form a run of their own behind it.
     SIGNS = ".,!$%&*#|;:?"
 
@@ -188,8 +188,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str], tail: bytes) -> list[bytes]:
         split = [blanks(t).split(" ") for t in texts]
-        for held in (self.cache, self.letters):
-            if len(held) > self.CACHE_WORDS:
+        for held, most in ((self.cache, self.CACHE_WORDS), (self.letters, self.CACHE_LETTERS)):
+            if len(held) > most:
                 held.clear()
         missing = list({w for ws in split for w in ws if w not in self.cache})
         if missing:
