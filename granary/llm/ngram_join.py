@@ -356,6 +356,19 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     return out.select(F.col("_id").alias(id_col), F.col("head.copy_of").alias("class_id"), "copy_of", "n_links", "h1", "h2", first.alias("first"))
 
 
+def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df`` that stand for their classes (see similarity_classes): one of each, with all its columns."""
+    firsts = similarity_classes(df, id_col, text, threshold).filter("first").select(F.col(id_col).alias("_first"), F.col("h1").alias("_f1"), F.col("h2").alias("_f2"))
+    counted = materialize(firsts.groupBy("_first", "_f1", "_f2").agg(F.count(F.lit(1)).alias("_rows")), "firsts")
+    h1, h2 = text_keys(F.coalesce(F.col(text), F.lit("")))
+    marked = df.withColumns({"_h1": h1, "_h2": h2})
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_first")) & (F.col("_h1") == F.col("_f1")) & (F.col("_h2") == F.col("_f2"))
+    kept = marked.join(counted.drop("_rows").hint("shuffle_hash"), same, "left_semi")
+    if counted.filter("_rows > 1").limit(1).count():  # rows that are equal in id and text
+        kept = kept.dropDuplicates([id_col, "_h1", "_h2"])
+    return kept.drop("_h1", "_h2")
+
+
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """One row per document: class id, the least id with the same text, and the number of different texts it's linked with."""
     return similarity_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "copy_of", "n_links")

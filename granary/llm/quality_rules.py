@@ -73,11 +73,11 @@ def line_stats(df: DataFrame, text: str, host: str, id_col: str) -> DataFrame:
     )
 
 
-def rate_documents(
+def verdicts(
     df: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", *,
     min_words: int = 50, max_repeat_percent: int = 50, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE,
 ) -> DataFrame:
-    """One row per row of ``df``: id, figures, base_failed, n_removed_words and kept.
+    """One row per row of ``df``: id, figures, base_failed, kept, n_removed_words, host and text_hash.
 
     Base rule: fewer than ``min_words`` words, or over ``max_repeat_percent`` % of them in repeated windows of three.
     Method: lines are trimmed, lower-cased and hashed; a line that more than ``line_docs`` different texts of its host
@@ -105,13 +105,21 @@ def rate_documents(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
         (~failed & ((gone == 0) | (F.col("n_words") - gone > left_share * F.col("n_words")))).alias("kept"),
-        gone.alias("n_removed_words"),
+        gone.alias("n_removed_words"), F.col("_host").alias("host"), F.col("_text_hash").alias("text_hash"),
     )
 
 
+def keep_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
+    """The rows of ``df`` that the rules (see verdicts) keep, with all their columns."""
+    bad = verdicts(df, id_col, text, host, **limits).filter("NOT kept")
+    bad = bad.select(F.col(id_col).alias("_bad_id"), F.col("host").alias("_bad_host"), F.col("text_hash").alias("_bad_hash")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_bad_id")) & F.col(host).eqNullSafe(F.col("_bad_host")) & (F.xxhash64(text_of(text)) == F.col("_bad_hash"))
+    return df.join(bad.hint("shuffle_hash"), same, "left_anti")
+
+
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Contract query over every row of documents; hosts are the values of ``source``."""
-    return rate_documents(documents(spark, sf_dir))
+    return verdicts(documents(spark, sf_dir)).drop("host", "text_hash")
 
 
 OP10_SQL = r"""
