@@ -18,8 +18,12 @@ nicht noch nur oder sich sie sind so über und von vor war wie wird zu zum zur
 al como con del el ella ellos era es esta este fue ha las lo los más me mi no nos o para pero por se si sin su sus te
 una uno y ya
 """.split()
-#: Content words of a chain, and words behind an anchor among which they are looked for.
-CHAIN, REACH = 2, 8
+#: One content word in EVERY, by its hash, starts a chain without an anchor before it (for texts without common words).
+EVERY = 4
+#: Words behind a chain's first content word among which the second is looked for.
+REACH = 3
+#: Runs of ASCII characters other than letters and digits separate words.
+NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Texts of fewer code points than this are taken by windows of WINDOW characters.
 SHORT, WINDOW = 160, 4
 #: Likeness below this is given as 0 where the sets' lengths alone exclude it.
@@ -29,32 +33,34 @@ AT_LEAST = 0.05
 def spots(text: Column) -> Column:
     """The sorted set of a text's spot signatures (array<int>).
 
-    Words are lower-cased runs of letters and digits. A spot is an anchor, or a word that has no anchor among the REACH
-    words from it on (so texts without common words have spots too). Its signature is the word with the first CHAIN
-    content words among the REACH words behind it. Texts of fewer than SHORT characters, and those without words, have
-    their windows of WINDOW characters; an empty text has no spot.
+    Words are lower-cased runs of letters and digits. A spot is a content word with an anchor right before it, or one
+    whose hash is divisible by EVERY (so texts without common words have spots too). Its signature is the anchor, the
+    word, and the next content word among the REACH words behind it. Texts of fewer than SHORT characters, and those
+    without words, have their windows of WINDOW characters; an empty text has no spot.
     """
-    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    words = F.array_remove(F.split(F.lower(text), NOT_WORD), "")
     none = F.array().cast("array<int>")
 
-    def chain(w: Column, i: Column) -> Column:
-        behind = F.filter(F.slice(w, i + 1, F.lit(REACH)), lambda x: ~x.isin(ANCHORS))
-        return F.hash(F.element_at(w, i), F.slice(behind, 1, CHAIN))
+    def signatures(w: Column, anchor: Column) -> Column:
+        first = lambda i: ~F.get(anchor, i) & (F.coalesce(F.get(anchor, i - 1), F.lit(False)) | (F.pmod(F.hash(F.get(w, i)), F.lit(EVERY)) == 0))
+        places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), first)
 
-    def signatures(w: Column) -> Column:
-        marked = F.transform(w, lambda x: x.isin(ANCHORS))
-        places = F.aggregate(
-            F.array(marked), none,
-            lambda _, m: F.filter(F.sequence(F.lit(1), F.size(m)), lambda i: F.element_at(m, i) | ~F.array_contains(F.slice(m, i, F.lit(REACH)), True)))
-        return F.transform(places, lambda i: chain(w, i))
+        def chain(i: Column) -> Column:
+            second = F.coalesce(*[F.when(~F.get(anchor, i + k), F.get(w, i + k)) for k in range(1, REACH + 1)])
+            return F.hash(F.when(F.get(anchor, i - 1), F.get(w, i - 1)), F.get(w, i), second)
+
+        return F.transform(places, chain)
+
+    def marked(w: Column) -> Column:
+        return F.aggregate(F.array(F.transform(w, lambda x: x.isin(ANCHORS))), none, lambda _, m: signatures(w, m))
 
     def windows(c: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - WINDOW + 1, F.lit(1))), lambda i: F.hash(F.slice(c, i, F.lit(WINDOW))))
 
     by_characters = F.aggregate(F.array(F.split(text, "")), none, lambda _, c: windows(c))
-    by_words = F.aggregate(F.array(words), none, lambda _, w: F.when(F.size(w) > 0, signatures(w)).otherwise(by_characters))
+    by_words = F.aggregate(F.array(words), none, lambda _, w: F.when(F.size(w) > 0, marked(w)).otherwise(by_characters))
     found = F.when(text == "", none).when(F.length(text) < SHORT, by_characters).otherwise(by_words)
-    return F.array_sort(F.array_distinct(found))
+    return F.sort_array(F.array_distinct(found))
 
 
 def fingerprint(sets: Column) -> Column:
@@ -108,7 +114,7 @@ def compare_with_edits(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     last; rows of one id stand in the order of their texts' hashes; rows equal in id and text count as one document in
     the order and each gets its result. An empty table gives an empty result; other columns don't matter.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_of(text)).alias("h"), text_of(text).alias("_text"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_of(text)).alias("h"), text_of(text).alias("_text"), spots(text_of(text)).alias("_set"))
     known = rows.select("doc", "h", F.length("_text").alias("n")).groupBy("doc", "h", "n").agg(F.count(F.lit(1)).alias("c"))
     known = materialize(known, "ids")
     order = [F.col("doc").desc_nulls_last(), F.col("h").asc()]
@@ -116,16 +122,15 @@ def compare_with_edits(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     asked = asked.select(F.col("doc").alias("d"), F.col("h").alias("dh"), "to_doc", "to_h", "to_n")
     same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh"))
     given = rows.join(asked.hint("shuffle_hash"), same).select(
-        "to_doc", "to_h", F.substring("_text", F.lit(1), F.floor(F.col("to_n") / 3).cast("int")).alias("_head"), spots(F.col("_text")).alias("_next"))
+        "to_doc", "to_h", F.substring("_text", F.lit(1), F.floor(F.col("to_n") / 3).cast("int")).alias("_head"), F.col("_set").alias("_next"))
     if known.filter("c > 1").limit(1).count():
         given = given.dropDuplicates(["to_doc", "to_h"])
     met = rows.join(given.hint("shuffle_hash"), F.col("doc").eqNullSafe(F.col("to_doc")) & (F.col("h") == F.col("to_h")))
     n = F.length("_text")
     edited = F.concat(F.substring("_text", F.lit(1), (n - F.floor(n / 3)).cast("int")), F.col("_head"))
-    marked = met.select("doc", n.cast("long").alias("n_chars"), "_text", edited.alias("edited"), "_next")
-    marked = marked.select("doc", "n_chars", "edited", "_next", F.array(spots(F.col("_text"))).alias("_a"), F.array(spots(F.col("edited"))).alias("_b"))
-    # one pass over generated one-element arrays keeps each set computed once
-    marked = marked.withColumn("_a", F.explode("_a")).withColumn("_b", F.explode("_b"))
+    # a generated one-element array keeps the edited text's set from being computed at each use
+    marked = met.select("doc", n.cast("long").alias("n_chars"), edited.alias("edited"), F.col("_set").alias("_a"), "_next")
+    marked = marked.withColumn("_b", F.explode(F.array(spots(F.col("edited")))))
     return marked.select(
         F.col("doc").alias(id_col), "n_chars", "edited", fingerprint(F.col("_a")).alias("fingerprint"), fingerprint(F.col("_b")).alias("edited_fingerprint"),
         likeness(F.col("_a"), F.col("_b")).alias("near_edited"), likeness(F.col("_a"), F.col("_next")).alias("near_next"))
