@@ -1 +1,6 @@
-"""plans of granary."""
+"""Queries by area; importing this package registers them all."""
+
+from . import relational  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
