@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 
 def path_text(j: Column, *keys) -> Column:
@@ -44,7 +45,7 @@ def _inside(a, b) -> bool:
     return _holds(a, b)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def contains(a: pd.Series, b: pd.Series) -> pd.Series:
     """@> : deep containment; an array holds a bare scalar that it has, objects and others never hold each other."""
 
