@@ -51,3 +51,18 @@ def words_of(text: Column) -> Column:
 def text_keys(text: Column) -> tuple[Column, Column]:
     """Two independent 64-bit hashes; together they stand for equality of texts."""
     return F.xxhash64(text), F.xxhash64(F.lit(0x5DEECE66D), text)
+
+
+def packed(df: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """All columns but some as one struct column _row, so that no name of ours can meet one of theirs."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in without]).alias("_row"))
+
+
+def of_row(name: str) -> Column:
+    return F.col("_row").getField(name)
+
+
+def unpacked(df: DataFrame, *more: Column, instead: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of _row again, some replaced, and more columns behind them."""
+    names = df.schema["_row"].dataType.names
+    return df.select(*[(instead or {}).get(c, of_row(c)).alias(c) for c in names], *more)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, documents, materialize
+from .common import SPACES, documents, materialize, of_row, packed, unpacked
 
 #: Bits of a filter per line, and bounds of a filter's size in bits. A filter of 2**31 bits (256 MB) is the largest that
 #: is sent to workers; with more lines it has more false positives: more lines are confirmed exactly, none is lost.
@@ -159,12 +159,13 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, mi
         held.join(repeated, (F.col("a") == F.col("h1")) & (F.col("b") == F.col("h2")))
         .filter(~F.col("_id").eqNullSafe(F.col("keep"))).groupBy("_id").agg(F.collect_set("a").alias("_lost"))
     )
-    joined = df.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
-    stays = F.when(F.col("_lost").isNull(), lines).otherwise(
-        F.filter(lines, lambda x: (F.length(x) < min_chars) | (F.length(line_key(x)) < min_chars) | ~F.array_contains(F.col("_lost"), F.xxhash64(line_key(x))))
+    joined = packed(df).join(lost, of_row(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
+    split = F.split(F.coalesce(of_row(text), F.lit("")), "\n")
+    stays = F.when(F.col("_lost").isNull(), split).otherwise(
+        F.filter(split, lambda x: (F.length(x) < min_chars) | (F.length(line_key(x)) < min_chars) | ~F.array_contains(F.col("_lost"), F.xxhash64(line_key(x))))
     )
-    n, left = F.size(lines).cast("long"), F.size("_stays").cast("long")
-    return joined.withColumn("_stays", stays).withColumns({"n_lines": n, "n_dropped": n - left}).withColumn(text, F.array_join("_stays", "\n")).drop("_stays", "_lost")
+    out = joined.select("_row", F.size(split).cast("long").alias("_n"), stays.alias("_stays"))
+    return unpacked(out, F.col("_n").alias("n_lines"), (F.col("_n") - F.size("_stays")).alias("n_dropped"), instead={text: F.array_join("_stays", "\n")})
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, text_of
+from .common import documents, of_row, packed, text_of, unpacked
 
 #: Poisson means above this are drawn as the sum of several draws of equal, smaller means (Poisson variables add up).
 STEP = 16.0
@@ -64,31 +64,32 @@ def mix_sources(
     """
     spark: SparkSession = df.sparkSession
     df = df.drop("copy_no", "rate", "shuffle_key")
-    t = F.coalesce(F.col(text), F.lit(""))
-    rates = source_rates(df.select(source, text), source, F.octet_length(t).cast("long"), alpha, epochs, targets)
-    n_sources = df.select(source).distinct().count()
+    rows = packed(df)
+    t = F.coalesce(of_row(text), F.lit(""))
+    slim = df.select(F.col(source).alias("_s"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("_m"))
+    rates = source_rates(slim, "_s", F.col("_m"), alpha, epochs, targets)
+    n_sources = slim.select("_s").distinct().count()
     if n_sources <= BROADCAST_SOURCES:
-        joined = df.join(F.broadcast(rates), F.col(source).eqNullSafe(F.col("_source")), "left")
+        joined = rows.join(F.broadcast(rates), of_row(source).eqNullSafe(F.col("_source")), "left")
     else:  # hot sources are spread over the salts
         salted = rates.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        left = df.withColumn("_s", F.pmod(F.xxhash64(id_col, text), F.lit(SALTS)).cast("int"))
-        joined = left.join(salted, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_s") == F.col("_salt")), "left").drop("_s", "_salt")
-    digest = F.md5(t.cast("binary"))
-    drawn = joined.withColumn("_digest", digest)
+        left = rows.withColumn("_own", F.pmod(F.xxhash64(of_row(id_col), of_row(text)), F.lit(SALTS)).cast("int"))
+        joined = left.join(salted, of_row(source).eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_salt")), "left")
+    drawn = joined.withColumn("_digest", F.md5(t.cast("binary")))
     count = F.aggregate(
         F.sequence(F.lit(1), F.col("_draws")), F.lit(0),
         lambda n, k: n + F.aggregate(
-            F.array(uniform(F.lit(seed), F.col(id_col), F.col("_digest"), k)), F.lit(0),
+            F.array(uniform(F.lit(seed), of_row(id_col), F.col("_digest"), k)), F.lit(0),
             lambda _, u: F.size(F.filter("_cdf", lambda c: c <= u))),
     )
     copies = (
         drawn.withColumn("_n", F.when(F.col("_rate") > 0, count).otherwise(0)).filter("_n > 0")
         .withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-        .withColumn("shuffle_key", uniform(F.lit(seed), F.lit("order"), F.col(id_col), F.col("_digest"), F.col("copy_no")))
-        .withColumnRenamed("_rate", "rate").drop("_source", "_draws", "_cdf", "_digest", "_n")
+        .select("_row", "copy_no", F.col("_rate").alias("rate"), uniform(F.lit(seed), F.lit("order"), of_row(id_col), F.col("_digest"), F.col("copy_no")).alias("shuffle_key"))
     )
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return copies.repartitionById(n, F.floor(F.col("shuffle_key") * n).cast("int")).sortWithinPartitions("shuffle_key", id_col)
+    dealt = copies.repartitionById(n, F.floor(F.col("shuffle_key") * n).cast("int")).sortWithinPartitions("shuffle_key")
+    return unpacked(dealt, F.col("copy_no"), F.col("rate"), F.col("shuffle_key"))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, text_keys
+from .common import documents, materialize, of_row, packed, text_keys, unpacked
 from .graphs import connected_components
 from .pieces import slices
 
@@ -360,13 +360,13 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     """The rows of ``df`` that stand for their classes (see similarity_classes): one of each, with all its columns."""
     firsts = similarity_classes(df, id_col, text, threshold).filter("first").select(F.col(id_col).alias("_first"), F.col("h1").alias("_f1"), F.col("h2").alias("_f2"))
     counted = materialize(firsts.groupBy("_first", "_f1", "_f2").agg(F.count(F.lit(1)).alias("_rows")), "firsts")
-    h1, h2 = text_keys(F.coalesce(F.col(text), F.lit("")))
-    marked = df.withColumns({"_h1": h1, "_h2": h2})
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_first")) & (F.col("_h1") == F.col("_f1")) & (F.col("_h2") == F.col("_f2"))
+    h1, h2 = text_keys(F.coalesce(of_row(text), F.lit("")))
+    marked = packed(df).select("_row", of_row(id_col).cast("long").alias("_i"), h1.alias("_h1"), h2.alias("_h2"))
+    same = F.col("_i").eqNullSafe(F.col("_first")) & (F.col("_h1") == F.col("_f1")) & (F.col("_h2") == F.col("_f2"))
     kept = marked.join(counted.drop("_rows").hint("shuffle_hash"), same, "left_semi")
     if counted.filter("_rows > 1").limit(1).count():  # rows that are equal in id and text
-        kept = kept.dropDuplicates([id_col, "_h1", "_h2"])
-    return kept.drop("_h1", "_h2")
+        kept = kept.dropDuplicates(["_i", "_h1", "_h2"])
+    return unpacked(kept)
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, documents, materialize, text_of, words_of
+from .common import SPACES, documents, materialize, of_row, packed, text_of, unpacked, words_of
 
 #: A line is boilerplate on its host if more than LINE_DOCS different texts and more than LINE_SHARE of them hold it.
 LINE_DOCS, LINE_SHARE = 50, 0.10
@@ -113,8 +113,8 @@ def keep_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", ho
     """The rows of ``df`` that the rules (see verdicts) keep, with all their columns."""
     bad = verdicts(df, id_col, text, host, **limits).filter("NOT kept")
     bad = bad.select(F.col(id_col).alias("_bad_id"), F.col("host").alias("_bad_host"), F.col("text_hash").alias("_bad_hash")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_bad_id")) & F.col(host).eqNullSafe(F.col("_bad_host")) & (F.xxhash64(text_of(text)) == F.col("_bad_hash"))
-    return df.join(bad.hint("shuffle_hash"), same, "left_anti")
+    same = of_row(id_col).eqNullSafe(F.col("_bad_id")) & of_row(host).eqNullSafe(F.col("_bad_host")) & (F.xxhash64(F.coalesce(of_row(text), F.lit(""))) == F.col("_bad_hash"))
+    return unpacked(packed(df).join(bad.hint("shuffle_hash"), same, "left_anti"))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

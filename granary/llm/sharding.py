@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import documents, of_row, packed, text_of, unpacked
+
 #: Rounds of the Feistel network, and steps of a cycle walk after which we give up with an error.
 ROUNDS, MAX_WALK = 6, 256
 
@@ -16,17 +18,18 @@ def number_rows(df: DataFrame, order: list[str], buckets: int = 4096) -> DataFra
     the rows alone and not on how they are partitioned. Each bucket is sorted by itself; only ``buckets`` counts meet
     in one task. Nulls are values like others; rows equal in ``order`` get neighbouring numbers in any order.
     """
-    bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    keys = [of_row(c) for c in order]
+    bucketed = packed(df).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
     counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     over = Window.orderBy("_bucket")  # at most ``buckets`` rows
     starts = counts.select(
         "_bucket",
         (F.sum("_n").over(over) - F.col("_n")).alias("_start"),
-        F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n_rows"),
+        F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"),
     )
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order]))
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*[k.asc_nulls_first() for k in keys]))
     numbered = bucketed.withColumn("_within", within.cast("long") - 1).join(F.broadcast(starts), "_bucket")
-    return numbered.withColumn("row_no", F.col("_start") + F.col("_within")).drop("_bucket", "_within", "_start")
+    return unpacked(numbered, (F.col("_start") + F.col("_within")).alias("row_no"), F.col("_all").alias("n_rows"))
 
 
 def feistel(x: Column, n: Column, seed: int, rounds: int = ROUNDS) -> Column:
@@ -76,8 +79,6 @@ def shard_rows(df: DataFrame, order: list[str], n_shards: int = 8, seed: int = 2
 
 def op4_sharding(spark, sf_dir: str) -> DataFrame:
     """Contract query: every row of documents by the law ``rows`` (counts at most one apart)."""
-    from .common import documents, text_of
-
     rows = documents(spark, sf_dir).select(
         "doc_id",
         (F.octet_length(text_of()) + 1).cast("long").alias("size"),
