@@ -2,30 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Signs that the text format writes with a backslash (fixed values).
+ESCAPES = {"\\": "\\\\", "\t": "\\t", "\n": "\\n", "\r": "\\r"}
+
+
+def _escaped(value: Column, delimiter: str) -> Column:
+    for sign, written in ESCAPES.items():
+        value = F.replace(value, F.lit(sign), F.lit(written))
+    return value if delimiter in ESCAPES else F.replace(value, F.lit(delimiter), F.lit("\\" + delimiter))
+
+
+def _unescaped(value: Column) -> Column:
+    # an escaped backslash waits as a private-use sign until the others are read
+    value = F.replace(value, F.lit("\\\\"), F.lit("\uf8ff"))
+    for sign, written in ESCAPES.items():
+        if sign != "\\":
+            value = F.replace(value, F.lit(written), F.lit(sign))
+    return F.replace(F.replace(value, F.lit("\\"), F.lit("")), F.lit("\uf8ff"), F.lit("\\"))
 
 
 def copy_from(spark: SparkSession, path: str, schema: str, *, format: str = "csv", delimiter: str | None = None, null: str | None = None, header: bool = False, quote: str = '"', escape: str | None = None, force_null: bool = False, bad_rows: str = "fail") -> DataFrame:
     """COPY FROM: text (tab, \\N) or csv (comma, empty is null unless quoted); malformed rows fail or are dropped or kept as null."""
+    if format == "text":
+        sep, none = delimiter or "\t", "\\N" if null is None else null
+        fields = StructType.fromDDL(schema).fields
+        parts = F.split("value", r"(?<!\\)" + re.escape(sep), -1)
+        wrong = F.when(F.size(parts) != len(fields), F.raise_error(F.lit("wrong number of columns")).cast("string"))
+        cells = [F.get(parts, F.lit(i)) if bad_rows != "fail" else wrong.otherwise(F.get(parts, F.lit(i))) for i in range(len(fields))]
+        texts = [F.when(c != none, _unescaped(c)) for c in cells]
+        lines = spark.read.text(path)
+        lines = lines.filter(F.size(parts) == len(fields)) if bad_rows == "drop" else lines
+        return lines.select(*[(t.cast(f.dataType) if bad_rows == "fail" else t.try_cast(f.dataType)).alias(f.name) for t, f in zip(texts, fields)])
     mode = {"fail": "FAILFAST", "drop": "DROPMALFORMED", "null": "PERMISSIVE"}[bad_rows]
     reader = spark.read.schema(schema).option("header", header).option("mode", mode).option("enforceSchema", True)
-    if format == "text":
-        reader = reader.option("sep", delimiter or "\t").option("nullValue", "\\N" if null is None else null).option("quote", "").option("emptyValue", "")
-    else:
-        reader = reader.option("sep", delimiter or ",").option("nullValue", "" if null is None else null).option("quote", quote).option("escape", escape or quote)
-        if not force_null:
-            reader = reader.option("emptyValue", "")
+    reader = reader.option("sep", delimiter or ",").option("nullValue", "" if null is None else null).option("quote", quote).option("escape", escape or quote)
+    if not force_null:
+        reader = reader.option("emptyValue", "")
     return reader.csv(path)
 
 
 def copy_to(df: DataFrame, path: str, *, format: str = "csv", delimiter: str | None = None, null: str | None = None, header: bool = False, quote: str = '"', force_quote: bool = False) -> None:
     """COPY TO of a table or query; parts are written in parallel."""
-    writer = df.write.option("header", header)
     if format == "text":
-        writer = writer.option("sep", delimiter or "\t").option("nullValue", "\\N" if null is None else null).option("quote", "").option("emptyValue", "")
-    else:
-        writer = writer.option("sep", delimiter or ",").option("nullValue", "" if null is None else null).option("quote", quote).option("escape", quote).option("quoteAll", force_quote).option("emptyValue", quote * 2)
-    writer.csv(path)
+        sep, none = delimiter or "\t", "\\N" if null is None else null
+        cells = [F.coalesce(_escaped(F.col(c).cast("string"), sep), F.lit(none)) for c in df.columns]
+        df.select(F.concat_ws(sep, *cells).alias("value")).write.text(path)
+        return
+    writer = df.write.option("header", header).option("sep", delimiter or ",").option("nullValue", "" if null is None else null)
+    writer.option("quote", quote).option("escape", quote).option("quoteAll", force_quote).option("emptyValue", quote * 2).csv(path)
 
 
 def foreign_table(spark: SparkSession, format: str, **options) -> DataFrame:
