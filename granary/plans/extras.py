@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import search, user, values
+from ..functions import digests, identifiers, search, user, values, xml
 from ..streaming.changes import tumbling_counts
 from .registry import query
 
@@ -96,3 +96,26 @@ def sy01_sequence(t, spark):
     from ..operators.sequences import number
 
     return number(t("customer").select("c_custkey"), [col("c_custkey")], "id", start=100)
+
+
+@query("SELECT p_partkey, md5(p_name) AS m, sha256(p_name) AS s, sha1(p_brand) AS s1 FROM part")
+def ex12_digests(t, spark):
+    return t("part").select("p_partkey", digests.digest(col("p_name"), "md5").alias("m"), digests.digest(col("p_name"), "sha256").alias("s"), digests.digest(col("p_brand"), "sha1").alias("s1"))
+
+
+@query("SELECT n_regionkey, string_agg('<n id=\"' || n_nationkey || '\">' || n_name || '</n>', '' ORDER BY n_nationkey) AS x FROM nation GROUP BY 1")
+def a18_xml_agg(t, spark):
+    e = xml.element("n", xml.escape(col("n_name")), attributes={"id": col("n_nationkey")})
+    return t("nation").groupBy("n_regionkey").agg(xml.agg(e, col("n_nationkey")).alias("x"))
+
+
+@query("SELECT n_regionkey, n_nationkey AS id, n_name AS name FROM nation")
+def s15_xml_table(t, spark):
+    e = xml.element("n", xml.forest(name=col("n_name")), attributes={"id": col("n_nationkey")})
+    docs = t("nation").groupBy("n_regionkey").agg(F.concat(lit("<r>"), xml.agg(e, col("n_nationkey")), lit("</r>")).alias("doc"))
+    return xml.table_rows(docs, "doc", "/r/n", {"id": ("@id", "int", None), "name": ("name", "string", "?")})
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey * 1000 < 10240 THEN (o_orderkey * 1000)::VARCHAR || ' bytes' WHEN floor(o_orderkey * 1000 / 1024.0 + 0.5) < 10240 THEN floor(o_orderkey * 1000 / 1024.0 + 0.5)::BIGINT::VARCHAR || ' kB' ELSE floor(o_orderkey * 1000 / 1048576.0 + 0.5)::BIGINT::VARCHAR || ' MB' END AS size FROM orders")
+def sy06_size_pretty(t, spark):
+    return t("orders").select("o_orderkey", identifiers.size_pretty(col("o_orderkey") * 1000).alias("size"))

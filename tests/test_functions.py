@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from granary.functions import arrays, compat, datetimes, general, jsons, numbers, ranges, regexes, search, similarity, strings, values
+from granary.functions import arrays, compat, datetimes, digests, general, identifiers, jsons, numbers, ranges, regexes, search, similarity, strings, values, xml
 from granary.operators.sequences import number
 from granary.sources import files
 from granary.streaming import changes as streams
@@ -89,6 +89,18 @@ def value(spark, column):
         (lambda: search.matches(search.to_tsvector(L("The fat and grey cats")), "fat <-> cat"), False),
         (lambda: search.matches(search.to_tsvector(L("The fat and grey cats")), "fat <3> cat | dog"), True),
         (lambda: search.headline(L("a cat sat"), ["cat"]), "a <b>cat</b> sat"),
+        (lambda: digests.hmac(L("what do ya want for nothing?"), b"Jefe", "sha256"), "5bdcc146bf60754e6a042426089575c75a003f089d2739839dec58b964ec3843"),
+        (lambda: digests.uuid_of_name("dns", L("www.example.com")), "2ed6657d-e927-568b-95e1-2665a8aea6a2"),
+        (lambda: digests.uuid_of_name("dns", L("www.example.com"), 3), "5df41881-3aed-3515-88a7-2f4a814cf09e"),
+        (lambda: digests.decrypt(digests.encrypt(L("abc"), L("0123456789abcdef")), L("0123456789abcdef")), "abc"),
+        (lambda: identifiers.size_pretty(L(10239)), "10239 bytes"),
+        (lambda: identifiers.size_pretty(L(1_000_000)), "977 kB"),
+        (lambda: identifiers.size_bytes(L("1.5 GB")), 1_610_612_736),
+        (lambda: identifiers.isbn13(L("0-306-40615-2")), "9780306406157"),
+        (lambda: identifiers.is_isbn10(L("0-8044-2957-X")), True),
+        (lambda: identifiers.cash_words(L("-1234.01").cast("decimal(19,2)")), "Minus one thousand two hundred thirty four dollars and one cent"),
+        (lambda: xml.element("a", xml.forest(b=L("x<y"), c=L(None)), attributes={"k": L('q"')}), '<a k="q&quot;"><b>x&lt;y</b></a>'),
+        (lambda: xml.concat(L(None).cast("string"), L("<a/>")), "<a/>"),
         (lambda: jsons.exists(L('{"a": 1}'), "a"), True),
         (lambda: jsons.exists_all(L('{"a": 1}'), ["a", "b"]), False),
         (lambda: jsons.path_text(L('{"a": [{"b": "x"}]}'), "a", 0, "b"), "x"),
@@ -138,3 +150,15 @@ def test_subscriber_applies_changes(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.read.parquet(f"{path}/1").collect())) == [(1, "A"), (3, "c")]
+
+
+def test_xml_table(spark):
+    doc = "<r><h><n id='1'><a>x</a><b><c>7</c></b></n><n id='2'/><n><a>z</a></n></h></r>"
+    df = spark.createDataFrame([(5, doc)], "k int, d string")
+    columns = {"id": ("@id", "int", None), "a": ("a", "string", "none"), "c": ("b/c", "int", None)}
+    got = sorted(map(tuple, xml.table_rows(df, "d", "/r/h/n", columns, ordinality="o").collect()), key=lambda r: r[-1])
+    assert got == [(5, 1, "x", 7, 1), (5, 2, "none", None, 2), (5, None, "z", None, 3)]
+    with pytest.raises(Exception, match="null is not allowed"):
+        xml.table_rows(df, "d", "/r/h/n", columns, required=("id",)).collect()
+    with pytest.raises(ValueError):
+        xml.table_rows(df, "d", None, columns)
