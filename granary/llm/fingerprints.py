@@ -68,19 +68,21 @@ def fingerprint(sets: Column) -> Column:
     return F.concat_ws(":", F.size(sets).cast("string"), F.array_join(sets.cast("array<string>"), ","))
 
 
+def length_partition(sets: Column, at_least: float) -> Column:
+    """The partition of a set by its length: sets whose likeness reaches ``at_least`` lie in one or in neighbours."""
+    return F.floor(F.log(F.greatest(F.size(sets), F.lit(1)).cast("double")) / F.log(F.lit(1 / at_least))).cast("int")
+
+
 def likeness(a: Column, b: Column, at_least: float = AT_LEAST) -> Column:
-    """Jaccard similarity of two sets; 0 without comparing where the lengths alone keep it below ``at_least``.
+    """Jaccard similarity of two sets; 0 without comparing where their lengths alone keep it below ``at_least``.
 
-    |A and B| / |A or B| is min(|A|, |B|) / max(|A|, |B|) at most. Two empty sets are alike (1).
+    Sets of length partitions that aren't neighbours aren't compared, nor those of neighbours whose lengths differ too
+    much: |A and B| / |A or B| is min(|A|, |B|) / max(|A|, |B|) at most. Two empty sets are alike (1).
     """
     small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    apart = F.abs(length_partition(a, at_least) - length_partition(b, at_least)) > 1
     common = F.size(F.array_intersect(a, b))
-    return F.when(large == 0, 1.0).when(small < at_least * large, 0.0).otherwise(common / (F.size(a) + F.size(b) - common))
-
-
-def length_partition(sets: Column, threshold: float) -> Column:
-    """The partition of a set by its length: sets of ``threshold`` similarity lie in one partition or in neighbours."""
-    return F.floor(F.log(F.greatest(F.size(sets), F.lit(1)).cast("double")) / F.log(F.lit(1 / threshold))).cast("int")
+    return F.when(large == 0, 1.0).when(apart | (small < at_least * large), 0.0).otherwise(common / (F.size(a) + F.size(b) - common))
 
 
 def successors(ids: DataFrame, order: list[Column], carried: list[str]) -> DataFrame:
