@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, documents, materialize, of_row, packed, unpacked
 
-#: Bits of a filter per line, and bounds of a filter's size in bits. A filter of 2**31 bits (256 MB) is the largest that
-#: is sent to workers; with more lines it has more false positives: more lines are confirmed exactly, none is lost.
-BITS_PER_LINE, MIN_BITS, MAX_BITS = 12, 1 << 20, 1 << 31
+#: Bits of a filter per line, and bounds of a filter's size in bits. A filter of 2**30 bits (128 MB) is the largest that
+#: is sent to workers (building takes two); with more lines it has more false positives: more lines are confirmed exactly, none is lost.
+BITS_PER_LINE, MIN_BITS, MAX_BITS = 12, 1 << 20, 1 << 30
 PROBES = 3
-#: Bits of a chunk, the piece in which filters are merged.
-CHUNK = 1 << 16
+#: Bits of a chunk, the piece in which filters are merged, and of a stretch that is sent at a time.
+CHUNK, SEGMENT = 1 << 16, 1 << 22
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,18 +57,19 @@ def seen_once_and_twice(bits: int):
             again = has(once, p) | (counts > 1)
             put(twice, p[again])
             put(once, p)
+        part = SEGMENT // 8
         for which, f in enumerate((once, twice)):
-            numbers = np.flatnonzero(np.unpackbits(f, bitorder="little"))
-            chunk = numbers // CHUNK
-            edges = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(numbers) else []
-            for i in range(0, len(edges), 256):
-                part = edges[i : i + 256]
-                ends = np.r_[edges[1:], len(numbers)][i : i + 256] if len(edges) else []
+            for start in range(0, len(f), part):  # a stretch at a time, so that positions stay few
+                numbers = np.flatnonzero(np.unpackbits(f[start : start + part], bitorder="little"))
+                if not len(numbers):
+                    continue
+                chunk = numbers // CHUNK
+                edges = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(chunk[part], pa.int32()),
-                        pa.array(np.full(len(part), which), pa.int32()),
-                        pa.array([(numbers[a:b] % CHUNK).astype("<u2").tobytes() for a, b in zip(part, ends)], pa.binary()),
+                        pa.array(chunk[edges] + start * 8 // CHUNK, pa.int32()),
+                        pa.array(np.full(len(edges), which), pa.int32()),
+                        pa.array([(numbers[a:b] % CHUNK).astype("<u2").tobytes() for a, b in zip(edges, np.r_[edges[1:], len(numbers)])], pa.binary()),
                     ],
                     names=["chunk", "which", "positions"],
                 )
