@@ -86,3 +86,8 @@ def exists_any(left: DataFrame, subqueries: list[tuple[DataFrame, str, str]]) ->
         out = out.join(keys, F.col(left_key) == F.col(f"_k{i}"), "left")
         flags.append(F.coalesce(F.col(f"_e{i}"), F.lit(False)))
     return out.filter(reduce(lambda a, b: a | b, flags)).select(*[F.col(c) for c in left.columns])
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """A broadcast hint for a table that has at most ``most_rows`` rows (counted up to there), else the table as it is."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

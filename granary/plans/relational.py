@@ -150,9 +150,9 @@ def p26_exists(t, spark):
     return t("customer").join(o.filter("o_totalprice > 200000"), on, "left_semi").join(o.filter("o_orderstatus = 'P'"), on, "left_anti").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
 def p27_not_in_null_aware(t, spark):
-    return joins.null_aware_anti_join(t("customer"), t("orders").filter("o_custkey IS NOT NULL"), "c_custkey", "o_custkey").select("c_custkey")
+    return joins.null_aware_anti_join(t("customer"), t("orders").filter("o_totalprice > 250000"), "c_custkey", "o_custkey").select("c_custkey")
 
 
 @query("SELECT p_partkey FROM part p WHERE p_retailprice >= ALL (SELECT p_retailprice FROM part q WHERE q.p_brand = p.p_brand)")
@@ -381,9 +381,9 @@ def a30_concatenated_sets(t, spark):
     return spark.sql("SELECT a, b, c, count(*) AS n FROM _abc GROUP BY ROLLUP (a, b), GROUPING SETS ((c), ())")
 
 
-@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 12 AND max(o_totalprice) < 290000")
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 12 AND max(o_totalprice) > 290000")
 def a32_having(t, spark):
-    return t("orders").groupBy("o_custkey").agg(F.count(lit(1)).alias("n"), F.max("o_totalprice").alias("m")).filter("n > 12 AND m < 290000").select("o_custkey", "n")
+    return t("orders").groupBy("o_custkey").agg(F.count(lit(1)).alias("n"), F.max("o_totalprice").alias("m")).filter("n > 12 AND m > 290000").select("o_custkey", "n")
 
 
 @query("SELECT DISTINCT NULLIF(l_returnflag, 'N') AS f, l_linestatus FROM lineitem")
@@ -492,9 +492,9 @@ def u04_intersect_all(t, spark):
     return t("customer").select(col("c_nationkey").alias("k")).intersectAll(t("supplier").select("s_nationkey"))
 
 
-@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 30")
+@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 49")
 def u05_except(t, spark):
-    return t("part").select(col("p_partkey").alias("k")).subtract(t("lineitem").filter("l_quantity > 30").select("l_partkey"))
+    return t("part").select(col("p_partkey").alias("k")).subtract(t("lineitem").filter("l_quantity > 49").select("l_partkey"))
 
 
 @query("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
