@@ -15,7 +15,7 @@ from .common import documents
 
 SPACE = "▁"  # the model's sign for a blank
 #: Words whose ids a worker remembers, and characters of texts that it handles at a time.
-CACHE_WORDS, SLICE_CHARS = 200_000, 4_000_000
+CACHE_WORDS, SLICE_CHARS = 120_000, 1_000_000
 #: Symbols are piece ids, or BEYOND + code point for a character that is no piece; pairs are keyed left << 22 | right.
 BEYOND, SHIFT = 1 << 20, 22
 NEVER = np.iinfo(np.int64).max
@@ -226,11 +226,10 @@ def encode_decode(df: DataFrame, model: str, text: str = "text", *, bos: bool =
         m = load_model(model)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            texts = column.cast(pa.large_string()).fill_null("")
-            sizes = pa.compute.binary_length(texts).to_pylist()
+            sizes = pa.compute.binary_length(column).fill_null(0).to_pylist()
             for a, b in slices(sizes):
                 part = batch.slice(a, b - a)
-                ids = m.encode(texts.slice(a, b - a).to_pylist(), bos, eos)
+                ids = m.encode([t or "" for t in column.slice(a, b - a).to_pylist()], bos, eos)
                 new = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
                 names = part.schema.names + ["ids", "n_tokens"]
                 if decode:
