@@ -18,8 +18,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the word rules and aren't depleted of lines of their own; hosts are the sources."""
-    return keep_documents(docs).select(COLUMNS)
+    """Documents that pass the word rules and aren't depleted of lines of their own, without boilerplate lines; hosts are the sources.
+
+    n_chars follows the text.
+    """
+    return keep_documents(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,6 +55,11 @@ def repeat_words(words: Column) -> Column:
     return F.when(n < 4, 0).otherwise(F.aggregate(F.array(windows), F.lit(0), lambda _, h: count(h)))
 
 
+def line_key(line: Column) -> Column:
+    """The hash by which a line is known on its host: trimmed and lower-cased."""
+    return F.xxhash64(F.lower(F.trim(line)))
+
+
 def line_stats(df: DataFrame, text: str, host: str, id_col: str) -> DataFrame:
     """Base figures of every row, and per line of it a hash and the number of words."""
     t = text_of(text)
@@ -69,7 +74,7 @@ def line_stats(df: DataFrame, text: str, host: str, id_col: str) -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("_words")).cast("long").alias("n_repeat_words"),
         F.transform("_lines", lambda x: F.struct(
-            F.xxhash64(F.lower(F.trim(x))).alias("h"), F.size(words_of(x)).alias("w"))).alias("_hashes"),
+            line_key(x).alias("h"), F.size(words_of(x)).alias("w"))).alias("_hashes"),
     )
 
 
@@ -77,12 +82,13 @@ def verdicts(
     df: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", *,
     min_words: int = 50, max_repeat_percent: int = 50, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE,
 ) -> DataFrame:
-    """One row per row of ``df``: id, figures, base_failed, kept, n_removed_words, host and text_hash.
+    """One row per row of ``df``: id, figures, base_failed, kept, n_removed_words, host, text_hash and removed_lines.
 
     Base rule: fewer than ``min_words`` words, or over ``max_repeat_percent`` % of them in repeated windows of three.
     Method: lines are trimmed, lower-cased and hashed; a line that more than ``line_docs`` different texts of its host
     and more than ``line_share`` of the host's different texts hold is boilerplate; a document is rejected if at most
     ``left_share`` of its words lie outside such lines. Equal texts count once, so copies don't condemn each other.
+    removed_lines holds the hashes (see line_key) of the row's boilerplate lines, null where it has none.
 
     A null text is empty (fails the base rule); a null host is a host of its own; equal rows and equal ids each get
     their own row; an empty table gives an empty result. Other columns don't matter.
@@ -96,8 +102,9 @@ def verdicts(
     hosts = rated.select("_host", "_text_hash").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_texts"))
     flagged = common.join(hosts, common["_host"].eqNullSafe(hosts["_host"])).filter(F.col("_docs") > line_share * F.col("_texts")).select(common["_host"].alias("_fh"), F.col("h").alias("_f"))
     removed = (
-        lines.join(flagged, (lines["h"] == flagged["_f"]) & lines["_host"].eqNullSafe(flagged["_fh"])).groupBy("_row").agg(F.sum("w").alias("_removed"))
-    )
+        lines.join(flagged, (lines["h"] == flagged["_f"]) & lines["_host"].eqNullSafe(flagged["_fh"]))
+        .groupBy("_row").agg(F.sum("w").alias("_removed"), F.collect_set("h").alias("_removed_lines"))
+    )
     out = rated.join(removed, "_row", "left")
     gone = F.coalesce(F.col("_removed"), F.lit(0)).cast("long")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
@@ -105,21 +112,28 @@ def verdicts(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
         (~failed & ((gone == 0) | (F.col("n_words") - gone > left_share * F.col("n_words")))).alias("kept"),
-        gone.alias("n_removed_words"), F.col("_host").alias("host"), F.col("_text_hash").alias("text_hash"),
+        gone.alias("n_removed_words"), F.col("_host").alias("host"), F.col("_text_hash").alias("text_hash"), F.col("_removed_lines").alias("removed_lines"),
     )
 
 
 def keep_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
-    """The rows of ``df`` that the rules (see verdicts) keep, with all their columns."""
-    bad = verdicts(df, id_col, text, host, **limits).filter("NOT kept")
-    bad = bad.select(F.col(id_col).alias("_bad_id"), F.col("host").alias("_bad_host"), F.col("text_hash").alias("_bad_hash")).distinct()
-    same = of_row(id_col).eqNullSafe(F.col("_bad_id")) & of_row(host).eqNullSafe(F.col("_bad_host")) & (F.xxhash64(F.coalesce(of_row(text), F.lit(""))) == F.col("_bad_hash"))
-    return unpacked(packed(df).join(bad.hint("shuffle_hash"), same, "left_anti"))
+    """The rows of ``df`` that the rules (see verdicts) keep, with all their columns, without their boilerplate lines.
+
+    Texts without such lines stay as they are, null texts too; a column n_chars isn't touched.
+    """
+    found = verdicts(df, id_col, text, host, **limits).filter("NOT kept OR removed_lines IS NOT NULL")
+    found = found.select(
+        F.col(id_col).alias("_found_id"), F.col("host").alias("_found_host"), F.col("text_hash").alias("_found_hash"), F.col("kept").alias("_kept"), F.col("removed_lines").alias("_lost"),
+    ).dropDuplicates(["_found_id", "_found_host", "_found_hash"])
+    same = of_row(id_col).eqNullSafe(F.col("_found_id")) & of_row(host).eqNullSafe(F.col("_found_host")) & (F.xxhash64(F.coalesce(of_row(text), F.lit(""))) == F.col("_found_hash"))
+    rows = packed(df).join(found.hint("shuffle_hash"), same, "left").filter(F.coalesce("_kept", F.lit(True)))
+    stay = F.filter(F.split(of_row(text), "\n"), lambda x: ~F.array_contains("_lost", line_key(x)))
+    return unpacked(rows, instead={text: F.when(F.col("_lost").isNull(), of_row(text)).otherwise(F.array_join(stay, "\n"))})
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Contract query over every row of documents; hosts are the values of ``source``."""
-    return verdicts(documents(spark, sf_dir)).drop("host", "text_hash")
+    return verdicts(documents(spark, sf_dir)).drop("host", "text_hash", "removed_lines")
 
 
 OP10_SQL = r"""

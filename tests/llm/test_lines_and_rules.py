@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 
+import corpus_pipeline
 from granary.llm import line_dedup, quality_rules
 from odd import LINE, ROWS, empty, key, table
 
@@ -76,3 +77,17 @@ def test_depleted_documents_are_rejected_and_copies_spare_each_other(spark):
     rows += [(300 + i, own(999), "h") for i in range(80)] + [(500, f"{boiler}\n{own(5)}", "h"), (501, f"{boiler}\nshort tail 0", "other")]
     got = {r["doc_id"]: r["kept"] for r in quality_rules.verdicts(table(spark, rows)).collect()}
     assert not any(got[i] for i in range(60)) and all(v for k, v in got.items() if k >= 100)
+
+
+def test_kept_documents_lose_their_boilerplate_lines(spark):
+    own = lambda i: " ".join(f"own{i}x{j}" for j in range(60))
+    menu = "Home | About us | Contact"
+    rows = [(i, f"{menu}\n\n{own(i)}\n  {menu.upper()} \nlast {i}", "h") for i in range(60)]
+    rows += [(100, f"{own(100)}\n{menu}", "other"), (101, own(101), "h"), (102, f"{menu}\n{own(102)}", None), (0, rows[0][1], "h"), (0, own(103), "h")]
+    rows += [(200 + i, f"{menu}\n{own(i)} {i}", None) for i in range(60)]
+    stay = lambda t: "\n".join(x for x in t.split("\n") if x.strip().lower() != menu.lower())
+    df = table(spark, rows)
+    got = corpus_pipeline.quality_rules(spark, df, "").collect()
+    want = [(i, t if h == "other" else stay(t), h) for i, t, h in rows]
+    assert key((r["doc_id"], r["text"], r["source"]) for r in got) == key(want) and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert quality_rules.keep_documents(df).columns == df.columns
