@@ -18,9 +18,11 @@ nicht noch nur oder sich sie sind so über und von vor war wie wird zu zum zur
 al como con del el ella ellos era es esta este fue ha las lo los más me mi no nos o para pero por se si sin su sus te
 una uno y ya
 """.split()
-#: One content word in EVERY, by its hash, starts a chain without an anchor before it (for texts without common words).
+#: One content word in EVERY, by its hash, starts a chain although an anchor that isn't right before it is in reach.
 EVERY = 4
-#: Words behind a chain's first content word among which the second is looked for.
+#: Texts with fewer spots than one in SPARSE characters (unspaced scripts, long tokens, nothing but anchors) have windows too.
+SPARSE = 100
+#: Words before a content word in which no anchor lets it start a chain; words behind it among which the second is looked for.
 REACH = 3
 #: Runs of ASCII characters other than letters and digits separate words.
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -33,16 +35,24 @@ AT_LEAST = 0.05
 def spots(text: Column) -> Column:
     """The sorted set of a text's spot signatures (array<int>).
 
-    Words are lower-cased runs of letters and digits. A spot is a content word with an anchor right before it, or one
-    whose hash is divisible by EVERY (so texts without common words have spots too). Its signature is the anchor, the
-    word, and the next content word among the REACH words behind it. Texts of fewer than SHORT characters, and those
-    without words, have their windows of WINDOW characters; an empty text has no spot.
+    Words are lower-cased runs of letters and digits. A spot is a content word with an anchor right before it or none
+    among the REACH words before it (so texts without common words have spots too), or one whose hash is divisible by
+    EVERY. Its signature is the anchor, the word, and the next content word among the REACH words behind it. Texts of
+    fewer than SHORT characters, and those without words, have their windows of WINDOW characters, those with fewer
+    spots than one in SPARSE characters have both; only an empty text has no spot.
     """
     words = F.array_remove(F.split(F.lower(text), NOT_WORD), "")
     none = F.array().cast("array<int>")
 
     def signatures(w: Column, anchor: Column) -> Column:
-        first = lambda i: ~F.get(anchor, i) & (F.coalesce(F.get(anchor, i - 1), F.lit(False)) | (F.pmod(F.hash(F.get(w, i)), F.lit(EVERY)) == 0))
+        is_anchor = lambda i: F.coalesce(F.get(anchor, i), F.lit(False))
+
+        def first(i: Column) -> Column:
+            near = is_anchor(i - 2)
+            for k in range(3, REACH + 1):
+                near = near | is_anchor(i - k)
+            return ~F.get(anchor, i) & (is_anchor(i - 1) | ~near | (F.pmod(F.hash(F.get(w, i)), F.lit(EVERY)) == 0))
+
         places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), first)
 
         def chain(i: Column) -> Column:
@@ -58,7 +68,8 @@ def spots(text: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - WINDOW + 1, F.lit(1))), lambda i: F.hash(F.slice(c, i, F.lit(WINDOW))))
 
     by_characters = F.aggregate(F.array(F.split(text, "")), none, lambda _, c: windows(c))
-    by_words = F.aggregate(F.array(words), none, lambda _, w: F.when(F.size(w) > 0, marked(w)).otherwise(by_characters))
+    both = lambda s: F.when(F.size(s) * SPARSE < F.length(text), F.concat(s, by_characters)).otherwise(s)
+    by_words = F.aggregate(F.array(words), none, lambda _, w: F.when(F.size(w) > 0, F.aggregate(F.array(marked(w)), none, lambda _, s: both(s))).otherwise(by_characters))
     found = F.when(text == "", none).when(F.length(text) < SHORT, by_characters).otherwise(by_words)
     return F.sort_array(F.array_distinct(found))
 

@@ -121,3 +121,17 @@ def test_fingerprints_of_odd_rows(spark):
     assert fingerprints.compare_with_edits(empty(spark)).count() == 0
     one = fingerprints.compare_with_edits(table(spark, [(1, "abcdef", "a")])).collect()[0]
     assert one["edited"] == "abcdab" and one["near_next"] == 1.0
+
+
+def test_long_texts_without_spots_by_anchors_have_fingerprints(spark):
+    texts = {
+        "anchorless": " ".join(f"stem{k}" for k in range(40)),
+        "anchors": " ".join(["the", "of", "and", "to"] * 20),
+        "unspaced": "".join(chr(0x4E00 + 37 * k % 5000) for k in range(300)),
+        "unspaced, ascii words": "".join(chr(0x4E00 + 37 * k % 5000) for k in range(600)) + " one two",
+        "one token": "".join(chr(97 + k * k % 26) for k in range(400)),
+    }
+    sets = {r["name"]: set(r["s"]) for r in spark.createDataFrame(list(texts.items()), "name string, text string").select("name", fingerprints.spots(F.col("text")).alias("s")).collect()}
+    assert len(sets["anchorless"]) == 40 and len(sets["anchors"]) > 5  # a spot for each content word; windows
+    assert len(sets["unspaced"]) > 250 and len(sets["unspaced, ascii words"]) > 550 and len(sets["one token"]) > 5
+    assert not sets["unspaced"] & sets["one token"]
