@@ -10,8 +10,8 @@ from .common import documents
 from .labelled import bounded_sample, fit_logistic, labels_of, remainder, sigmoid
 from .toxicity import one_of_each, score_texts
 
-#: Labelled rows that are learned from at most, lines of one of them that are learned from at most, rounds of relabelling.
-SAMPLE, LINES, ROUNDS = 4_000, 200, 2
+#: Labelled rows that are learned from at most, lines of all of them together at most (fewer rows, all whole), rounds of relabelling.
+SAMPLE, LINES, ROUNDS = 4_000, 200_000, 2
 #: Signs counted one by one.
 SIGNS = "!|&$%*#<>{}=\\_@"
 
@@ -67,9 +67,20 @@ def with_neighbours(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.hstack([own, own[:, :12] ** 2, before, behind, first[:, None], last[:, None]])
 
 
-def document_features(texts: list[str], most: int | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Features of the lines of each text (of its first ``most`` lines in learning), and the lines' lengths plus 1."""
-    split = [t.split("\n")[:most] for t in texts]
+def whole_texts(texts: list[str], places: list[int], most: int) -> list[int]:
+    """Of the places those, in order, whose texts have ``most`` lines together; a text that doesn't fit is left out whole."""
+    out, left = [], most
+    for i in places:
+        n = texts[i].count("\n") + 1
+        if n <= left:
+            out.append(i)
+            left -= n
+    return out
+
+
+def document_features(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Features of the lines of each text, and the lines' lengths plus 1."""
+    split = [t.split("\n") for t in texts]
     counts = np.array([len(x) for x in split])
     lines = [line for x in split for line in x]
     new = np.zeros(len(lines), bool)
@@ -157,16 +168,16 @@ def summary(good: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class QualityModel:
-    """CRF and document weights learned from texts with labels (at most SAMPLE of them)."""
+    """CRF and document weights learned from whole texts with labels (at most SAMPLE of them, of LINES lines together)."""
 
     def __init__(self, texts: list[str], labels: np.ndarray):
-        places = one_of_each(texts)
+        places = whole_texts(texts, one_of_each(texts), LINES)
         texts, labels = [texts[i] for i in places], labels[places]
         self.chain, self.document = None, np.array([0.0, 0.0, 0.0, 0.0])
         if not len(texts) or labels.min() == labels.max():
             self.document[-1] = 3.0 if len(texts) and labels.min() == 1 else -3.0 if len(texts) else 0.0
             return
-        docs, lengths = document_features(texts, LINES)
+        docs, lengths = document_features(texts)
         self.chain = Chain(docs[0].shape[1])
         # lines of good documents are good; of bad ones all at first, then those that the chain finds bad
         targets = [np.full(len(d), float(y)) for d, y in zip(docs, labels)]

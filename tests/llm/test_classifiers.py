@@ -81,3 +81,16 @@ def test_sample_is_bounded_and_labels_are_settled(spark):
     assert 350 < n < 650
     mixed = spark.createDataFrame([(1, 0), (1, 1), (2, None), (3, 0), (3, 0)], "doc_id long, label int")
     assert sorted(map(tuple, labelled.bounded_sample(mixed, F.lit(True), 500).collect())) == [(1, 1), (3, 0)]
+
+
+def test_quality_learns_from_whole_texts(monkeypatch):
+    good = lambda i: f"Sentence{i} tells{i} of{i} quiet{i} walks{i} along{i} rivers{i}."
+    junk = lambda i: f"BUY{i} |{i} NOW{i} |{i} $$${i} !!!{i} |{i} CLICK{i}"
+    texts = [f"start{i} of a text\n" + "\n".join([good(i)] * 210 + [(junk if i % 2 else good)(i)] * 210) for i in range(20)]
+    seen = []
+    features = line_quality.document_features
+    monkeypatch.setattr(line_quality, "document_features", lambda t, *a: seen.append(features(t, *a)) or seen[-1])
+    model = line_quality.QualityModel(texts, np.array([1 - i % 2 for i in range(20)]))
+    assert all(len(d) == 421 for d in seen[0][0])
+    assert [x >= 0.5 for x in model.scorer()(texts)] == [i % 2 == 0 for i in range(20)]
+    assert line_quality.whole_texts(["a\nb", "a\n" * 9, "c"], [0, 1, 2], 3) == [0, 2]
