@@ -32,6 +32,19 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def fit_sparse_logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, width: int, y: np.ndarray, l2: float, steps: int) -> np.ndarray:
+    """Weights and, last, the bias of a logistic regression on targets in [0, 1], by Adam over the entries that aren't 0."""
+    w, n = np.zeros(width + 1), len(y)
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    penalty = np.r_[np.full(width, l2), 1e-6]
+    for t in range(1, steps + 1):
+        off = sigmoid(np.bincount(rows, values * w[columns], n) + w[-1]) - y
+        g = (np.r_[np.bincount(columns, values * off[rows], width), off.sum()] + penalty * w) / n
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 300, weight: np.ndarray | None = None) -> np.ndarray:
     """Weights and, last, the bias of a logistic regression on targets in [0, 1]: Newton steps for few columns, else Adam."""
     x = np.hstack([x, np.ones((len(x), 1))])

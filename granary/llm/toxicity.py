@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents
-from .labelled import bounded_sample, fit_logistic, labels_of, remainder, sigmoid
+from .labelled import bounded_sample, fit_logistic, fit_sparse_logistic, labels_of, remainder, sigmoid
 from .pieces import slices
 
-#: Labelled rows that are learned from at most; terms of the mined lexicon at most.
-SAMPLE, LEXICON = 6_000, 600
+#: Labelled rows that are learned from at most.
+SAMPLE = 6_000
 #: A term's share of toxic rows: prefixes of these lengths stand for families of words.
 PREFIXES = (3, 4, 5, 6)
 #: Voters that share the mined lexicon.
@@ -49,7 +49,7 @@ def terms_of(word: str) -> list[str]:
 
 
 def mine_lexicon(bags: list[set[str]], labels: np.ndarray) -> list[str]:
-    """Terms that mark toxic rows: in at least 3 and 1 % of them, and at least 12 times as frequent there (with a prior count).
+    """Terms that mark toxic rows: in at least 3 of them, and at least 12 times as frequent there (with a prior count).
 
     A longer term is left out where a prefix of it that is at least as pure is already in.
     """
@@ -58,11 +58,10 @@ def mine_lexicon(bags: list[set[str]], labels: np.ndarray) -> list[str]:
         terms = {t for w in bag for t in terms_of(w)}
         (toxic if y else clean).update(terms)
     n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    least = max(3, 0.01 * n1)
-    ratio = {t: ((k + 0.1) / n1) / ((clean[t] + 0.5) / n0) for t, k in toxic.items() if k >= least}
+    ratio = {t: ((k + 0.1) / n1) / ((clean[t] + 0.5) / n0) for t, k in toxic.items() if k >= 3}
     purity = {t: clean[t] / toxic[t] for t, r in ratio.items() if r >= 12}
     kept = [t for t in purity if not any(purity.get(t[:n] + "*", 2) <= purity[t] for n in PREFIXES if n < len(t.rstrip("*")))]
-    return sorted(kept, key=lambda t: (-toxic[t] * np.log(ratio[t]), t))[:LEXICON]
+    return sorted(kept, key=lambda t: (-toxic[t] * np.log(ratio[t]), t))
 
 
 class Matcher:
@@ -89,21 +88,29 @@ class Matcher:
         return out
 
 
-def votes_of(text: str, bag: set[str], counts: dict[int, int], group: np.ndarray) -> list[int]:
+def patterns_of(text: str, bag: set[str]) -> list[int]:
+    """Whether a text holds an insult, addresses somebody with an exclamation, and shouts."""
+    letters = sum(map(len, bag)) or 1
+    shouting = len(re.findall(r"\b[A-Z]{3,}\b", text))
+    return [
+        1 if bag.intersection(INSULTS) else 0,
+        1 if re.search(r"\b(you|your)\b[^.\n]{0,40}!", text, re.I) else 0,
+        1 if shouting * 5 > 0.5 * letters else 0,
+    ]
+
+
+def votes_of(patterns: list[int], counts: dict[int, int], group: np.ndarray) -> list[int]:
     """1 toxic, -1 clean, 0 no opinion: the lexicon's parts, the insults, the lexicon at large, and patterns."""
     hits = np.zeros(LEXICON_VOTERS, int)
     for i, c in counts.items():
         hits[group[i]] += c
     total = int(hits.sum())
-    letters = sum(map(len, bag)) or 1
-    shouting = sum(len(w) > 2 for w in re.findall(r"\b[A-Z]{3,}\b", text[:100_000]))
     return [
         *(1 if h else 0 for h in hits.tolist()),
-        1 if bag.intersection(INSULTS) else 0,
+        patterns[0],
         1 if total >= 3 else -1 if total == 0 else 0,
         1 if total >= 2 else -1 if total == 0 else 0,
-        1 if re.search(r"\b(you|your)\b[^.\n]{0,40}!", text, re.I) else 0,
-        1 if shouting * 5 > 0.5 * letters else 0,
+        *patterns[1:],
     ]
 
 
@@ -156,36 +163,37 @@ class ToxicityModel:
         self.lexicon = mine_lexicon(bags, labels)
         # families go to one voter each: terms with the same first three letters
         group = np.array([zlib.crc32(t[:3].encode()) % LEXICON_VOTERS for t in self.lexicon], int)
-        if not len(texts) or not self.lexicon:
-            self.weights, self.bias, self.posterior = np.zeros(len(self.lexicon) + 3), -2.0, np.zeros(len(texts))
+        if not len(texts) or labels.min() == labels.max():
+            self.weights, self.bias, self.posterior = np.zeros(len(self.lexicon) + 6), -2.0, np.zeros(len(texts))
             return
         matcher = Matcher(self.lexicon)
         counts = [matcher.counts(b) for b in bags]
-        votes = np.array([votes_of(t, b, c, group) for t, b, c in zip(texts, bags, counts)], float)
+        patterns = [patterns_of(t, b) for t, b in zip(texts, bags)]
+        votes = np.array([votes_of(p, c, group) for p, c in zip(patterns, counts)], float)
         self.prior = float(np.clip(labels.mean(), 0.01, 0.9))
         self.posterior, self.ratios, self.discounts = label_model(votes, self.prior)
-        x = np.array([self.features(c) for c in counts])
-        w = fit_logistic(x, self.posterior, l2=0.5, steps=1500)
-        raw = x @ w[:-1] + w[-1]
+        x = [self.features(c, p) for c, p in zip(counts, patterns)]
+        rows = np.repeat(np.arange(len(x)), [len(at) for at, _ in x])
+        columns, values = np.concatenate([at for at, _ in x]), np.concatenate([v for _, v in x])
+        w = fit_sparse_logistic(rows, columns, values, len(self.lexicon) + 6, self.posterior, l2=0.5, steps=1500)
+        raw = np.bincount(rows, values * w[columns], len(x)) + w[-1]
         # two numbers set the scale on the labels that may be learned from
         a, b = fit_logistic(np.clip(raw, -30, 30)[:, None], labels.astype(float), l2=1e-3)
         self.weights, self.bias = w[:-1] * a, float(w[-1] * a + b)
 
-    def features(self, counts: dict[int, int]) -> np.ndarray:
-        """Whether each term is in the text; whether any is, two are, and the logarithm of the words that carry some."""
-        x = np.zeros(len(self.lexicon) + 3)
-        x[list(counts)] = 1
-        total = sum(counts.values())
-        x[-3:] = total > 0, total > 1, np.log1p(total)
-        return x
+    def features(self, counts: dict[int, int], patterns: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Columns and values: each term in the text; whether any is, two are, the logarithm of the words that carry some; patterns."""
+        total, n = sum(counts.values()), len(self.lexicon)
+        at = np.array([*counts, *range(n, n + 6)], int)
+        return at, np.array([*[1.0] * len(counts), total > 0, total > 1, np.log1p(total), *patterns], float)
 
     def scorer(self):
         matcher, weights, bias = Matcher(self.lexicon), self.weights, self.bias
-        without = float(sigmoid(np.float64(bias)))
 
         def score_one(text: str) -> float:
-            counts = matcher.counts(words_in(text))
-            return float(sigmoid(self.features(counts) @ weights + bias)) if counts else without
+            bag = words_in(text)
+            at, values = self.features(matcher.counts(bag), patterns_of(text, bag))
+            return float(sigmoid(values @ weights[at] + bias))
 
         def score(texts: list[str]) -> list[float]:
             return [score_one(t) for t in texts]
@@ -220,7 +228,7 @@ def score_texts(df: DataFrame, model, text: str = "text", out: str = "score") ->
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     """Contract query: learned where crc32(doc_id) mod 5 is not 0, scored everywhere; a toxic score of 0.5 is predicted 1.
 
-    Equal texts get equal scores; an empty text gets the score of a text without any lexicon word; without labels of
+    Equal texts get equal scores; an empty text gets the score of a text without any lexicon word or pattern; without labels of
     both kinds every score is that constant.
     """
     docs = documents(spark, sf_dir).select("doc_id", "text")

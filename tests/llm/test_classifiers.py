@@ -94,3 +94,15 @@ def test_quality_learns_from_whole_texts(monkeypatch):
     assert all(len(d) == 421 for d in seen[0][0])
     assert [x >= 0.5 for x in model.scorer()(texts)] == [i % 2 == 0 for i in range(20)]
     assert line_quality.whole_texts(["a\nb", "a\n" * 9, "c"], [0, 1, 2], 3) == [0, 2]
+
+
+def test_toxicity_has_rare_terms_and_patterns_as_features():
+    code = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(3))
+    clean = [f"calm walk {i} along rivers" for i in range(5000)]
+    toxic = [f"{code(i // 4)} {i} idiot" for i in range(2800)]
+    model = toxicity.ToxicityModel(clean + toxic, np.r_[np.zeros(5000, int), np.ones(2800, int)])
+    assert len(model.lexicon) > 600
+    score = model.scorer()
+    assert score(["a moron of no known word"])[0] > score(["somebody of no known word"])[0]
+    late = "A" * 3 + " "
+    assert toxicity.patterns_of("x" * 100_000 + " " + late * 50_000, {"aaa"})[2] == 1
