@@ -34,6 +34,12 @@ def materialize(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitions_for(df: DataFrame, bytes_each: int = 64 << 20) -> int:
+    """Shuffle partitions for whole rows of a table: the session's number, more where its estimated size asks for more."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-estimate // bytes_each), 100_000))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
-from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir
+from .common import documents, partitions_for, shared_dir
 from .pieces import slices
 
 #: Ids in a block; ids after which a file is closed at the next end of a document; share of a block packed at its width.
 BLOCK, FILE_IDS, PERCENTILE = 512, 1 << 20, 90
+#: Bytes of texts that are encoded at a time.
+SLICE_BYTES = 4_000_000
 MAGIC = b"TPFR0001"
 HEADER = struct.Struct("<8sIQI")  # magic, documents, ids, blocks
 BLOCK_HEAD = np.dtype([("least", "<u4"), ("n", "<u2"), ("width", "u1"), ("unused", "u1"), ("exceptions", "<u4")])
@@ -27,6 +30,15 @@ def bit_lengths(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1].astype(np.uint8)  # 0 for 0
 
 
+def turned(x: np.ndarray) -> np.ndarray:
+    """Each run of eight bytes read as an 8 x 8 matrix of bits, turned over its diagonal (turning twice gives it back)."""
+    x = np.ascontiguousarray(x).view("<u8")
+    for shift, mask in ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0)):
+        t = (x ^ (x >> np.uint64(shift))) & np.uint64(mask)
+        x = x ^ t ^ (t << np.uint64(shift))
+    return x.view(np.uint8)
+
+
 def pack_blocks(ids: np.ndarray) -> list[bytes]:
     """Each block: head; values less the block's minimum, packed at its width; places (u2) and high parts (u4) of exceptions.
 
@@ -37,33 +49,30 @@ def pack_blocks(ids: np.ndarray) -> list[bytes]:
     n_blocks = -(-len(ids) // BLOCK)
     if not n_blocks:
         return []
-    table = np.full(n_blocks * BLOCK, ids[-1], np.uint32)
+    table = np.full(n_blocks * BLOCK, ids[-1], "<u4")
     table[: len(ids)] = ids
     table = table.reshape(n_blocks, BLOCK)
     least = table.min(axis=1)
     table -= least[:, None]
-    lengths = bit_lengths(table)
-    widths = np.sort(lengths, axis=1)[:, BLOCK * PERCENTILE // 100].astype(int)
+    at = BLOCK * PERCENTILE // 100
+    widths = bit_lengths(np.partition(table, at, axis=1)[:, at]).astype(int)
     sizes = np.full(n_blocks, BLOCK)
     sizes[-1] = len(ids) - (n_blocks - 1) * BLOCK
-    packed = [b""] * n_blocks
-    for w in np.unique(widths).tolist():
-        rows = np.flatnonzero(widths == w)
-        planes = np.empty((len(rows), w, BLOCK // 8), np.uint8)
-        values = table[rows]
-        for k in range(w):
-            planes[:, k] = np.packbits((values >> np.uint32(k)).astype(np.uint8) & 1, axis=1, bitorder="little")
-        for r, x in zip(rows.tolist(), planes):
-            packed[r] = x.tobytes()
-    wide = lengths > widths[:, None]
-    wide.ravel()[len(ids) :] = False
-    block, place = np.nonzero(wide)
-    high = (table[block, place].astype(np.int64) >> widths[block]).astype("<u4")
-    place = place.astype("<u2")
+    high = table >> widths[:, None].astype(np.uint64)
+    high.ravel()[len(ids) :] = 0
+    block, place = np.nonzero(high)
+    high, place = high[block, place].astype("<u4"), place.astype("<u2")
+    planes = np.empty((n_blocks, 32, BLOCK // 8), np.uint8)
+    for k in range(-(-int(widths.max()) // 8)):  # byte k of all values gives planes 8k to 8k + 7
+        bits = turned((table >> np.uint32(8 * k)).astype(np.uint8)).reshape(n_blocks, BLOCK // 8, 8)
+        planes[:, 8 * k : 8 * k + 8] = bits.transpose(0, 2, 1)
     heads = np.zeros(n_blocks, BLOCK_HEAD)
     heads["least"], heads["n"], heads["width"], heads["exceptions"] = least, sizes, widths, np.bincount(block, minlength=n_blocks)
     ends = np.cumsum(heads["exceptions"].astype(int))
-    return [heads[i].tobytes() + packed[i] + place[e - n : e].tobytes() + high[e - n : e].tobytes() for i, (e, n) in enumerate(zip(ends.tolist(), heads["exceptions"].tolist()))]
+    return [
+        heads[i].tobytes() + planes[i, :w].tobytes() + place[e - n : e].tobytes() + high[e - n : e].tobytes()
+        for i, (w, e, n) in enumerate(zip(widths.tolist(), ends.tolist(), heads["exceptions"].tolist()))
+    ]
 
 
 def unpack_blocks(blocks: list[bytes]) -> np.ndarray:
@@ -72,15 +81,14 @@ def unpack_blocks(blocks: list[bytes]) -> np.ndarray:
         return np.zeros(0, np.uint32)
     at = BLOCK_HEAD.itemsize
     heads = np.frombuffer(b"".join(b[:at] for b in blocks), BLOCK_HEAD)
-    table = np.zeros((len(blocks), BLOCK), np.uint32)
     widths = heads["width"].astype(int)
-    for w in np.unique(widths).tolist():
-        rows = np.flatnonzero(widths == w)
-        planes = np.frombuffer(b"".join(blocks[r][at : at + BLOCK * w // 8] for r in rows.tolist()), np.uint8).reshape(len(rows), w, BLOCK // 8)
-        values = np.zeros((len(rows), BLOCK), np.uint32)
-        for k in range(w):
-            values |= np.unpackbits(planes[:, k], axis=1, bitorder="little").astype(np.uint32) << np.uint32(k)
-        table[rows] = values
+    whole = BLOCK * (-(-int(widths.max()) // 8) * 8) // 8  # planes of all blocks padded to the same whole bytes
+    raw = b"".join(b[at : at + BLOCK * w // 8].ljust(whole, b"\0") for b, w in zip(blocks, widths.tolist()))
+    planes = np.frombuffer(raw, np.uint8).reshape(len(blocks), whole * 8 // BLOCK, BLOCK // 8)
+    table = np.zeros((len(blocks), BLOCK), np.uint32)
+    for k in range(planes.shape[1] // 8):
+        part = turned(planes[:, 8 * k : 8 * k + 8].transpose(0, 2, 1)).reshape(len(blocks), BLOCK)
+        table |= part.astype(np.uint32) << np.uint32(8 * k)
     for b in np.flatnonzero(heads["exceptions"]).tolist():
         start, k = at + BLOCK * widths[b] // 8, int(heads["exceptions"][b])
         places = np.frombuffer(blocks[b], "<u2", k, start)
@@ -125,84 +133,145 @@ class TokenImage:
         return unpack_blocks(blocks)[start - first * BLOCK : end - first * BLOCK]
 
 
+#: The normaliser and pre-tokenizer under which white space ends words and vanishes (fixed values).
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split", "behavior": "Removed", "invert": True,
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Texts on which a word-wise encoder is held against the library when it is loaded.
+PROBES = [
+    "", " ", "Ein  Wort,\tnoch eins.\r\nIT'S they'll 12,5 % (a-b) <|endoftext|>x", "É é E\u0301 İstanbul ΣΑΣ ﬁ Straße", "a\u00a0b\u3000c\u200bd",
+    "日本語 한국어 ไทย עברית", "x.y!! ##;: --- ...", "😀 a😀b", "ǅ ß ﬀ \x0b\x0c", "l'été d'une naïve coöperation", "supercalifragilistic " * 3,
+]
+
+
+def taken(ids: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``ids`` (of the lengths, one behind the other) in the order asked for, and their lengths."""
+    starts, n = np.cumsum(lengths) - lengths, lengths[order]
+    ends = np.cumsum(n)
+    if not len(ends):
+        return ids[:0], n
+    return ids[np.repeat(starts[order] - (ends - n), n) + np.arange(ends[-1])], n
+
+
+def listed(words: pa.Array) -> list[str]:
+    """The words as Python strings (they hold no line break)."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py().split("\n")
+
+
 class WordEncoder:
-    """Encodes texts with a tokenizers file, word by word between ASCII white space, remembering words.
+    """Encodes texts with a tokenizers file: different words once, then all texts by taking their words' ids.
 
-    White space ends every word of this tokenizer and is dropped, normalisation never reaches across it, and special
-    tokens hold none, so the ids of a text are those of its words.
+    Where the file has the normaliser and pre-tokenizer above, ASCII white space ends every word and is dropped,
+    normalisation never reaches across it, and signs behind a run of letters are a run of their own. For any other file,
+    or if a probe text comes out differently, whole texts go to the library.
     """
 
-    CACHE_WORDS, CACHE_LETTERS = 400_000, 700_000
+    #: Runs of letters that a worker remembers, and words that are encoded together.
+    CACHE, TOGETHER = 700_000, 500
     #: Signs that end a word's run of letters and form a run of their own behind it.
     SIGNS = ".,!$%&*#|;:?"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-
-    def whole(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def joined(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, encoded together: each should end with one word end, else they're encoded singly."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(ends) != len(words) or ends[-1] != len(ids):
-            return self.whole(words)
-        return [x.tobytes() for x in np.split(ids, ends[:-1])]
+        spec = json.loads(self.tokenizer.to_str())
+        model, vocabulary = spec["model"], self.tokenizer.get_vocab()
+        self.cache: dict[str, bytes] = {"": b""}
+        self.by_words = (
+            spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER and not spec["truncation"] and not spec["padding"]
+            and model["type"] == "BPE" and not model["dropout"] and model["end_of_word_suffix"] == "</w>" and not model["continuing_subword_prefix"]
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or t["content"].split() != [t["content"]] or t["content"].isalpha() for t in spec["added_tokens"])
+        )
+        if self.by_words:
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+            self.plain = Tokenizer(self.tokenizer.model)  # for lower-case ASCII letters there is nothing else to do
+            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            ids, counts = self.encode(pa.array(PROBES), None)
+            self.by_words = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [e.ids for e in self.tokenizer.encode_batch_fast(PROBES, add_special_tokens=False)]
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def together(self, tokenizer, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, many in one call: each should end with one word end, else they're encoded singly."""
+        out = []
+        for i in range(0, len(words), self.TOGETHER):
+            part = words[i : i + self.TOGETHER]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                out += self.whole(part)
+            else:
+                raw = ids.tobytes()
+                out += [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        return out
 
     def learn(self, words: list[str]) -> None:
-        """Runs of letters are encoded once, whatever signs follow them; the rest of the words as they are."""
-        letters, cache, tokenize = self.letters, self.cache, self.model.tokenize
-        foreign, odd = [], []
+        plain, foreign, odd = [], [], []
         for w in words:
-            core = w.rstrip(self.SIGNS)
-            if not core.isalpha():
-                odd.append(w)
-            elif core.isascii():
-                low = core.lower()
-                ids = letters.get(low)
-                if ids is None:
-                    ids = letters[low] = array("I", [t.id for t in tokenize(low)]).tobytes()
-                cache[w] = ids if len(core) == len(w) else ids + self.signs(w[len(core) :])
-            else:
-                foreign.append((w, core))
-        new = list({core for _, core in foreign if core not in letters})
-        for i in range(0, len(new), 200):
-            letters.update(zip(new[i : i + 200], self.joined(new[i : i + 200])))
-        for w, core in foreign:
-            cache[w] = letters[core] if len(core) == len(w) else letters[core] + self.signs(w[len(core) :])
-        cache.update(zip(odd, self.whole(odd)))
-
-    def signs(self, tail: str) -> bytes:
-        if tail not in self.letters:
-            self.letters[tail] = self.whole([tail])[0]
-        return self.letters[tail]
-
-    def encode(self, texts: list[str], tail: bytes) -> list[bytes]:
-        split = [blanks(t).split(" ") for t in texts]
-        for held, most in ((self.cache, self.CACHE_WORDS), (self.letters, self.CACHE_LETTERS)):
-            if len(held) > most:
-                held.clear()
-        missing = list({w for ws in split for w in ws if w not in self.cache})
+            (odd if not w.isalpha() else plain if w.isascii() else foreign).append(w)
+        self.cache.update(zip(plain, self.together(self.plain, plain)))
+        self.cache.update(zip(foreign, self.together(self.tokenizer, foreign)))
+        self.cache.update(zip(odd, self.whole(odd)))
+
+    def ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one word's behind the other's, and how many each has."""
+        if not len(words):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        names = listed(words)
+        if len(self.cache) > self.CACHE:
+            self.cache = {"": b""}
+        missing = [w for w in names if w not in self.cache]
         if missing:
             self.learn(missing)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, ws)) + tail for ws in split]
-
-
-def blanks(t: str) -> str:
-    for c in "\n\t\r\x0b\f":
-        if c in t:
-            t = t.replace(c, " ")
-    return t
+        raw = list(map(self.cache.__getitem__, names))
+        return np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+
+    def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (none null), one text's behind the other's, and how many each has."""
+        end = np.array([] if end_id is None else [end_id], "<u4")
+        if not self.by_words:
+            parts = [np.r_[np.frombuffer(x, "<u4"), end].astype("<u4") for x in self.whole(texts.to_pylist())]
+            return np.concatenate(parts or [end[:0]]), np.array([len(x) for x in parts], np.int64)
+        split = pc.ascii_split_whitespace(texts)
+        n_words = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        # a word's run of letters and the signs behind it are looked up apart
+        core = pc.utf8_rtrim(words, self.SIGNS)
+        letters = pc.utf8_is_alpha(core)
+        core = pc.if_else(letters, pc.ascii_lower(core), words)
+        cut = np.flatnonzero(pc.and_(letters, pc.not_equal(pc.binary_length(core), pc.binary_length(words))).to_numpy(zero_copy_only=False))
+        at = pa.array(cut)
+        tails = pa.array([w[n:] for w, n in zip(listed(words.take(at)), pc.utf8_length(core.take(at)).to_pylist())], pa.string()).dictionary_encode()
+        cores = core.dictionary_encode()
+        core_ids, core_lengths = self.ids_of(cores.dictionary)
+        tail_ids, tail_lengths = self.ids_of(tails.dictionary)
+        tail_of = np.full(len(words), len(cores.dictionary) + len(tails.dictionary))  # the last, empty run
+        tail_of[cut] = tails.indices.to_numpy() + len(cores.dictionary)
+        runs = np.stack([cores.indices.to_numpy(), tail_of], axis=1).ravel()
+        ids, lengths = taken(np.r_[core_ids, tail_ids], np.r_[core_lengths, tail_lengths, 0], runs)
+        lengths = lengths.reshape(-1, 2).sum(axis=1)
+        # the end id is one more word behind each text
+        order = np.insert(coded.indices.to_numpy().astype(np.int64), np.cumsum(n_words), len(words))
+        out, each = taken(np.r_[ids, end].astype("<u4"), np.r_[lengths, len(end)], order)
+        ends = np.cumsum(each)[np.cumsum(n_words + 1) - 1]
+        return out, np.diff(np.r_[0, ends])
 
 
 @lru_cache(maxsize=2)
@@ -224,17 +293,16 @@ def write_token_files(df: DataFrame, tokenizer: str, path: str, id_col: str = "d
     hashes; equal rows are written each; an empty table gives an empty one. Other columns aren't written.
     """
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or partitions_for(df)
     rows = df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     ordered = rows.repartitionByRange(n, F.col("_id").asc_nulls_first(), F.xxhash64("_text")).sortWithinPartitions(F.col("_id").asc_nulls_first(), F.xxhash64("_text"))
-    tail = np.array([] if end_id is None else [end_id], "<u4").tobytes()
 
     def run(batches):
         encoder, part = load_encoder(tokenizer), TaskContext.get().partitionId()
         keys, counts, held, n_held, first, number = [], [], [], 0, 0, 0
 
         def close():
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held)
             image = write_image(keys, np.array(counts, np.int64), ids)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([first], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([len(keys)], pa.int32()), pa.array([image], pa.binary())],
@@ -243,16 +311,20 @@ def write_token_files(df: DataFrame, tokenizer: str, path: str, id_col: str = "d
 
         for batch in batches:
             texts, ids = batch.column(1), batch.column(0).to_pylist()
-            for a, b in slices(pa.compute.binary_length(texts).to_pylist()):
-                for key, raw in zip(ids[a:b], encoder.encode(texts.slice(a, b - a).to_pylist(), tail)):
+            for a, b in slices(pc.binary_length(texts).to_pylist(), SLICE_BYTES):
+                coded, sizes = encoder.encode(texts.slice(a, b - a), end_id)
+                done = 0
+                for key, size in zip(ids[a:b], sizes.tolist()):
                     keys.append(key)
-                    counts.append(len(raw) // 4)
-                    held.append(raw)
-                    n_held += len(raw) // 4
+                    counts.append(size)
+                    n_held += size
                     if n_held >= FILE_IDS:
+                        upto = done + n_held - sum(map(len, held))
+                        held.append(coded[done:upto])
                         yield close()
-                        first, number = first + n_held, number + 1
+                        done, first, number = upto, first + n_held, number + 1
                         keys, counts, held, n_held = [], [], [], 0
+                held.append(coded[done:])
         if keys:
             yield close()
 

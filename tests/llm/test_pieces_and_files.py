@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,7 +56,19 @@ def test_word_encoder_is_the_library():
 
     texts = random_texts(3000, 2)
     want = [e.ids for e in Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in token_files.load_encoder(WORDS).encode(texts, b"")] == want
+    ids, counts = token_files.load_encoder(WORDS).encode(pa.array(texts), None)
+    assert token_files.load_encoder(WORDS).by_words and [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
+def test_files_of_another_tokenizer_go_to_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    texts = random_texts(50, 5)
+    want = [np.array([*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = token_files.write_token_files(df, path, str(tmp_path / "b")).orderBy("doc_id").collect()
+    assert [bytes(r["ids"]) for r in found] == want and not token_files.load_encoder(path).by_words
 
 
 def expected(rows):
