@@ -7,15 +7,11 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, documents, materialize, of_row, packed, text_of, unpacked, words_of
 
-#: A line is boilerplate on its host if more than LINE_DOCS different texts and more than LINE_SHARE of them hold it.
-LINE_DOCS, LINE_SHARE = 50, 0.10
-#: A document is depleted if at most this share of its words is left.
-LEFT_SHARE = 0.2
-SYMBOLS = "#*$%&|<>"
-
-
-def without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+#: A line is boilerplate on its host if more than this many of the host's documents hold it, however large the host is.
+LINE_DOCS = 5
+#: A document is depleted if more than this share of its words lies in such lines.
+LOST_SHARE = 0.25
+SYMBOLS = "[#*$%&|<>]"
 
 
 def repeat_words(words: Column) -> Column:
@@ -55,63 +51,61 @@ def repeat_words(words: Column) -> Column:
     return F.when(n < 4, 0).otherwise(F.aggregate(F.array(windows), F.lit(0), lambda _, h: count(h)))
 
 
-def line_key(line: Column) -> Column:
-    """The hash by which a line is known on its host: trimmed and lower-cased."""
-    return F.xxhash64(F.lower(F.trim(line)))
+def line_text(line: Column) -> Column:
+    """The line as it is compared: without white space at both ends, lower-cased."""
+    return F.lower(F.trim(line, F.lit(SPACES)))
 
 
 def line_stats(df: DataFrame, text: str, host: str, id_col: str) -> DataFrame:
-    """Base figures of every row, and per line of it a hash and the number of words."""
+    """Base figures of every row, and per line of it that has a word its hash (of 64 and 32 bits) and number of words."""
     t = text_of(text)
-    cut = df.select(F.col(id_col).alias("_id"), F.col(host).alias("_host"), t.alias("_text"), F.xxhash64(t).alias("_text_hash"), words_of(t).alias("_words"), F.split(t, "\n").alias("_all"))
-    lines = F.filter("_all", lambda x: F.trim(without(x, SPACES)) != "")
-    cut = cut.withColumn("_lines", lines)
+    cut = df.select(
+        F.col(id_col).alias("_id"), F.col(host).alias("_host"), t.alias("_text"), F.xxhash64(t).alias("_text_hash"), words_of(t).alias("_words"),
+        F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(SPACES)) != "").alias("_lines"))
+
+    def entry(x: Column) -> Column:
+        return F.struct(F.xxhash64(line_text(x)).alias("h"), F.hash(line_text(x)).alias("g"), F.size(words_of(x)).alias("w"))
+
     return cut.select(
         "_id", "_host", "_text_hash",
         F.size("_words").cast("long").alias("n_words"),
-        F.length(without(F.col("_text"), SPACES)).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(without(F.col("_text"), SYMBOLS))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("_words")).cast("long").alias("n_repeat_words"),
-        F.transform("_lines", lambda x: F.struct(
-            line_key(x).alias("h"), F.size(words_of(x)).alias("w"))).alias("_hashes"),
+        F.transform("_lines", entry).alias("_hashes"),
     )
 
 
 def verdicts(
     df: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", *,
-    min_words: int = 50, max_repeat_percent: int = 50, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE,
+    min_words: int = 50, max_repeat_percent: int = 50, line_docs: int = LINE_DOCS, lost_share: float = LOST_SHARE,
 ) -> DataFrame:
     """One row per row of ``df``: id, figures, base_failed, kept, n_removed_words, host, text_hash and removed_lines.
 
     Base rule: fewer than ``min_words`` words, or over ``max_repeat_percent`` % of them in repeated windows of three.
-    Method: lines are trimmed, lower-cased and hashed; a line that more than ``line_docs`` different texts of its host
-    and more than ``line_share`` of the host's different texts hold is boilerplate; a document is rejected if at most
-    ``left_share`` of its words lie outside such lines. Equal texts count once, so copies don't condemn each other.
-    removed_lines holds the hashes (see line_key) of the row's boilerplate lines, null where it has none.
-
-    A null text is empty (fails the base rule); a null host is a host of its own; equal rows and equal ids each get
-    their own row; an empty table gives an empty result. Other columns don't matter.
+    Method: lines are trimmed, lower-cased and hashed, and the distinct documents (ids) of each host that hold a line are
+    counted, in whatever rows; a line that more than ``line_docs`` of them hold is boilerplate there and is removed; a
+    document that loses more than ``lost_share`` of its words so is depleted and rejected. The limit is a number, so a
+    line is judged alike on small and large hosts. removed_lines holds the 64-bit hashes of the row's boilerplate lines,
+    null where it has none.
+
+    A null text is empty (fails the base rule); a null host is a host of its own; null ids are one document; equal rows
+    and equal ids each get their own row; an empty table gives an empty result. Other columns don't matter.
     """
     rated = materialize(line_stats(df, text, host, id_col).withColumn("_row", F.monotonically_increasing_id()), "quality-lines")
-    lines = rated.select("_row", "_host", "_text_hash", F.explode("_hashes").alias("_l")).select("_row", "_host", "_text_hash", "_l.h", "_l.w")
-    # distinct texts of each line; hosts with no line so common that it passes line_docs end here
-    common = (
-        lines.select("_host", "h", "_text_hash").distinct().groupBy("_host", "h").agg(F.count(F.lit(1)).alias("_docs")).filter(F.col("_docs") > line_docs)
-    )
-    hosts = rated.select("_host", "_text_hash").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_texts"))
-    flagged = common.join(hosts, common["_host"].eqNullSafe(hosts["_host"])).filter(F.col("_docs") > line_share * F.col("_texts")).select(common["_host"].alias("_fh"), F.col("h").alias("_f"))
-    removed = (
-        lines.join(flagged, (lines["h"] == flagged["_f"]) & lines["_host"].eqNullSafe(flagged["_fh"]))
-        .groupBy("_row").agg(F.sum("w").alias("_removed"), F.collect_set("h").alias("_removed_lines"))
-    )
+    lines = rated.select("_row", "_host", "_id", F.explode("_hashes").alias("_l")).select("_row", "_host", "_id", "_l.h", "_l.g", "_l.w")
+    # a row per host, line and document first, so that no line's documents meet in one task
+    held = lines.select("_host", "h", "g", "_id").distinct().groupBy("_host", "h", "g").agg(F.count(F.lit(1)).alias("_docs"))
+    flagged = held.filter(F.col("_docs") > line_docs).select(F.col("_host").alias("_fh"), F.col("h").alias("_f"), F.col("g").alias("_g"))
+    same = (lines["h"] == flagged["_f"]) & (lines["g"] == flagged["_g"]) & lines["_host"].eqNullSafe(flagged["_fh"])
+    removed = lines.join(flagged, same).groupBy("_row").agg(F.sum("w").alias("_removed"), F.collect_set("h").alias("_removed_lines"))
     out = rated.join(removed, "_row", "left")
     gone = F.coalesce(F.col("_removed"), F.lit(0)).cast("long")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return out.select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"),
-        (~failed & ((gone == 0) | (F.col("n_words") - gone > left_share * F.col("n_words")))).alias("kept"),
+        failed.alias("base_failed"), (~failed & (gone <= lost_share * F.col("n_words"))).alias("kept"),
         gone.alias("n_removed_words"), F.col("_host").alias("host"), F.col("_text_hash").alias("text_hash"), F.col("_removed_lines").alias("removed_lines"),
     )
 
@@ -127,7 +121,7 @@ def keep_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", ho
     ).dropDuplicates(["_found_id", "_found_host", "_found_hash"])
     same = of_row(id_col).eqNullSafe(F.col("_found_id")) & of_row(host).eqNullSafe(F.col("_found_host")) & (F.xxhash64(F.coalesce(of_row(text), F.lit(""))) == F.col("_found_hash"))
     rows = packed(df).join(found.hint("shuffle_hash"), same, "left").filter(F.coalesce("_kept", F.lit(True)))
-    stay = F.filter(F.split(of_row(text), "\n"), lambda x: ~F.array_contains("_lost", line_key(x)))
+    stay = F.filter(F.split(of_row(text), "\n"), lambda x: (F.trim(x, F.lit(SPACES)) == "") | ~F.array_contains("_lost", F.xxhash64(line_text(x))))
     return unpacked(rows, instead={text: F.when(F.col("_lost").isNull(), of_row(text)).otherwise(F.array_join(stay, "\n"))})
 
 
@@ -143,11 +137,10 @@ w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda
 g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 rep AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
-l AS (SELECT doc_id, host, t, lower(trim(x)) AS h, len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS n
-  FROM (SELECT doc_id, host, t, unnest(ls) AS x FROM w)),
-common AS (SELECT host, h, count(DISTINCT t) AS docs FROM l GROUP BY host, h HAVING count(DISTINCT t) > 50),
-hosts AS (SELECT host, count(DISTINCT t) AS texts FROM d GROUP BY host),
-flagged AS (SELECT c.host, c.h FROM common c JOIN hosts s ON c.host IS NOT DISTINCT FROM s.host WHERE docs > 0.1 * texts),
+l AS (SELECT doc_id, host, lower(trim(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13))) AS h,
+  len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS n
+  FROM (SELECT doc_id, host, unnest(ls) AS x FROM w)),
+flagged AS (SELECT host, h FROM l GROUP BY host, h HAVING count(DISTINCT doc_id) > 5),
 gone AS (SELECT doc_id, sum(n)::BIGINT AS n FROM l JOIN flagged f ON l.h = f.h AND l.host IS NOT DISTINCT FROM f.host GROUP BY doc_id),
 s AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
   (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
@@ -155,5 +148,5 @@ s AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x
   FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN gone USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND (n_removed_words = 0 OR n_words - n_removed_words > 0.2 * n_words) AS kept, n_removed_words FROM b
+  NOT base_failed AND n_removed_words <= 0.25 * n_words AS kept, n_removed_words FROM b
 """
