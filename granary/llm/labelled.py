@@ -28,6 +28,27 @@ def bounded_sample(labels: DataFrame, learn: Column, most: int, id_col: str = "d
     return usable
 
 
+def labelled_texts(df: DataFrame, labels: DataFrame, id_col: str, text: str, most_rows: int, most_bytes: int, buckets: int = 4096) -> tuple[list[str], np.ndarray]:
+    """Texts and labels of the rows whose ids are labelled, in the order of a hash, within bounds of rows and bytes.
+
+    Rows equal in id and text count once. Rows are dealt into buckets by the hash; only the buckets' sizes come to the
+    driver before the texts, and the buckets from the first on are taken as long as they fit.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(F.col(id_col).alias("i"), t.alias("t")).join(F.broadcast(labels.select(F.col(id_col).alias("i"), "label")), "i")
+    rows = rows.groupBy("i", F.xxhash64("i", "t").alias("h")).agg(F.first("t").alias("t"), F.first("label").alias("label"))
+    rows = rows.withColumn("b", F.pmod("h", F.lit(buckets)).cast("int"))
+    sizes = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("s")).orderBy("b").collect()
+    n = size = upto = 0
+    for r in sizes:
+        n, size = n + r["n"], size + r["s"]
+        if n > most_rows * 1.1 or size > most_bytes:
+            break
+        upto = r["b"] + 1
+    found = rows.filter(F.col("b") < upto).orderBy("b", "h").select("t", "label").toPandas()
+    return found["t"].tolist(), found["label"].to_numpy(int)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
