@@ -20,17 +20,20 @@ def auc(score, y):
     return (order[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() - 1) / 2) / ((y == 1).sum() * (y == 0).sum())
 
 
-def test_toxicity_on_held_out_rows(spark):
+def test_toxicity_on_held_out_rows_and_against_the_vote(spark):
     x, y, tx, ty = held_out(spark, "toxic", 5, 0)
     model = toxicity.ToxicityModel(x, y)
     score = np.array(model.scorer()(tx))
-    assert ((score >= 0.5) == ty).mean() > 0.96 and auc(score, ty) > 0.95
+    assert ((score >= 0.5) == ty).mean() > 0.97 and (score >= 0.5)[ty == 1].mean() > 0.85 and auc(score, ty) > 0.95
     assert model.scorer()([""])[0] < 0.5
+    bags = [toxicity.words_in(t) for t in tx]
+    votes = model.votes(bags, [toxicity.patterns_of(t, b) for t, b in zip(tx, bags)])
+    assert ((score >= 0.5) == ty).mean() > ((votes.sum(axis=1) > 0) == ty).mean() + 0.02
 
 
 def test_quality_on_held_out_rows(spark):
     x, y, tx, ty = held_out(spark, "quality", 3, 1)
-    score = np.array(line_quality.QualityModel(x[:1200], y[:1200]).scorer()(tx))
+    score = np.array(line_quality.QualityModel(x[:500], y[:500]).scorer()(tx))
     assert ((score >= 0.5) == ty).mean() > 0.98 and auc(score, ty) > 0.99
 
 
@@ -82,7 +85,7 @@ def plain_features(lines):
 
 
 def test_line_features_are_those_of_plain_python(spark, monkeypatch):
-    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()] + ["", "\n\n", "A\nb!\nA\n|x| é…"]
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()] + ["", "\n\n", "A\nb!\nA\n|x| é…"]
     split = [t.split("\n") for t in texts]
     want = np.array([row for lines in split for row in plain_features(lines)])
     assert line_quality.document_features(split) == pytest.approx(want, abs=1e-5)
@@ -107,17 +110,17 @@ def test_document_scores_are_those_of_length_weighted_marginals(spark, monkeypat
     assert model.scorer()(tx[:80]) == pytest.approx(whole, abs=1e-4)
 
 
-def test_a_text_of_a_million_lines_is_scored_in_bounded_memory(spark):
+def test_a_text_of_very_many_lines_is_scored_in_bounded_memory(spark):
     import tracemalloc
 
     x, y, *_ = held_out(spark, "quality", 3, 1)
     score = line_quality.QualityModel(x[:200], y[:200]).scorer()
-    text = "A line.\n" * 1_000_000
+    text = "A line.\n" * 200_000
     tracemalloc.start()
     assert 0 <= score([text])[0] <= 1
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 250e6  # the lines themselves and a few numbers each; their features alone would take as much
+    assert peak < 60e6  # the lines themselves and a few numbers each; their features alone would take 100 MB
 
 
 def test_label_model_weighs_voters_by_accuracy_and_repeats_little():
@@ -135,15 +138,6 @@ def test_label_model_weighs_voters_by_accuracy_and_repeats_little():
     assert model.accuracy[1:, 0, 2].max() > 0.6 and model.accuracy[0, 0, 2] < 0.05
 
 
-def test_the_label_model_needs_no_labels_and_the_classifier_beats_the_vote(spark):
-    x, y, tx, ty = held_out(spark, "toxic", 5, 0)
-    model = toxicity.ToxicityModel(x, y)
-    bags = [toxicity.words_in(t) for t in tx]
-    votes = model.votes(bags, [toxicity.patterns_of(t, b) for t, b in zip(tx, bags)])
-    vote, score = votes.sum(axis=1) > 0, np.array(model.scorer()(tx)) >= 0.5
-    assert (score == ty).mean() > (vote == ty).mean() + 0.02 and (score == ty).mean() > 0.97 and score[ty == 1].mean() > 0.85
-
-
 @pytest.mark.parametrize("fit", [toxicity.fit_toxicity, line_quality.fit_quality])
 def test_scores_of_odd_rows_and_without_labels(spark, fit):
     labels = spark.createDataFrame([(1, 0), (4, 1), (7, 0), (9, 1), (None, 1)], "doc_id long, label int")
