@@ -216,22 +216,33 @@ class LabelModel:
             best[closer], source[closer] = gain[j][closer], j
         return parents
 
+    def _cells(self, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, voters and cells (parent's level * 3 + own) of the votes in whose table cell somebody doesn't abstain."""
+        cell = np.where(self.parents >= 0, level[:, self.parents], 1) * 3 + level
+        rows, voters = np.nonzero(cell != 4)
+        return rows, voters, cell[rows, voters]
+
     def _estimate(self, level: np.ndarray, resp: np.ndarray) -> None:
         (n, k), classes = level.shape, resp.shape[1]
+        rows, voters, cell = self._cells(level)
         self.priors = (resp.sum(axis=0) + 1) / (n + classes)
         self.accuracy, self.tables = np.zeros((classes, k, 3)), np.zeros((classes, k, 3, 3))
         for y in range(classes):
+            counts = np.bincount(voters * 9 + cell, resp[rows, y], 9 * k).reshape(k, 9)
+            counts[:, 4] = resp[:, y].sum() - counts.sum(axis=1)
+            counts = counts.reshape(k, 3, 3)
             rare = np.array([0.2, 20.0, 0.2]) if y == 0 else np.array([0.05, 1.0, 0.05])
-            for j in range(k):
-                own = np.bincount(level[:, j], resp[:, y], 3) + rare
-                self.accuracy[y, j] = own / own.sum()
-                above = level[:, self.parents[j]] if self.parents[j] >= 0 else np.ones(n, int)
-                table = np.bincount(above * 3 + level[:, j], resp[:, y], 9).reshape(3, 3) + self.SHRINK * self.accuracy[y, j]
-                self.tables[y, j] = table / table.sum(axis=1, keepdims=True)
+            own = counts.sum(axis=1) + rare
+            self.accuracy[y] = own / own.sum(axis=1, keepdims=True)
+            table = counts + self.SHRINK * self.accuracy[y][:, None, :]
+            self.tables[y] = table / table.sum(axis=2, keepdims=True)
 
     def _classes(self, level: np.ndarray) -> np.ndarray:
-        above, at = np.where(self.parents >= 0, level[:, self.parents], 1), np.arange(level.shape[1])
-        odds = np.stack([np.log(self.priors[y]) + np.log(self.tables[y, at, above, level]).sum(axis=1) for y in range(len(self.priors))], axis=1)
+        rows, voters, cell = self._cells(level)
+        odds = np.empty((len(level), len(self.priors)))
+        for y in range(len(self.priors)):
+            logs = np.log(self.tables[y].reshape(-1, 9))
+            odds[:, y] = np.log(self.priors[y]) + logs[:, 4].sum() + np.bincount(rows, (logs - logs[:, 4:5])[voters, cell], len(level))
         odds = np.exp(odds - odds.max(axis=1, keepdims=True))
         return odds / odds.sum(axis=1, keepdims=True)
 
