@@ -91,3 +91,35 @@ def box_overlap(low1: Column, high1: Column, low2: Column, high2: Column) -> Col
     """n-dimensional boxes share a point."""
     sides = F.zip_with(F.arrays_zip(low1.alias("a"), high1.alias("b")), F.arrays_zip(low2.alias("c"), high2.alias("d")), lambda p, q: (p["a"] <= q["d"]) & (q["c"] <= p["b"]))
     return F.forall(sides, lambda x: x)
+
+
+def array_append(a: Column, x: Column) -> Column:
+    """The array with one more element; a null array is empty."""
+    return F.concat(F.coalesce(a, F.array()), F.array(x))
+
+
+def array_prepend(x: Column, a: Column) -> Column:
+    return F.concat(F.array(x), F.coalesce(a, F.array()))
+
+
+def array_cat(a: Column, b: Column) -> Column:
+    """Both arrays; a null one is passed over, null if both are."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.concat(a, b)).otherwise(F.coalesce(a, b))
+
+
+def string_to_array(s: Column, separator: str | None, null_text: str | None = None) -> Column:
+    """Parts between separators (each sign without one); empty text gives an empty array, parts equal to ``null_text`` null."""
+    import re
+
+    parts = F.filter(F.split(s, ""), lambda c: c != "") if separator is None else F.split(s, re.escape(separator)) if separator else F.array(s)
+    parts = F.when(s == "", F.array().cast("array<string>")).otherwise(parts)
+    return parts if null_text is None else F.transform(parts, lambda p: F.nullif(p, F.lit(null_text)))
+
+
+def array_dims(a: Column, dimensions: int = 1) -> Column:
+    """'[1:n]' for each dimension; null for an empty array."""
+    out, level = [], a
+    for _ in range(dimensions):
+        out.append(F.concat(F.lit("[1:"), F.size(level).cast("string"), F.lit("]")))
+        level = F.get(level, F.lit(0))
+    return F.when(F.size(a) > 0, F.concat(*out))

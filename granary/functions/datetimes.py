@@ -113,11 +113,34 @@ def to_char(t: Column, template: str) -> Column:
     out, i = [], 0
     while i < len(template):
         found = next((k for k in sorted(PATTERNS, key=len, reverse=True) if template.startswith(k, i)), None)
-        if found == "MONTH":
-            out.append(F.rpad(F.upper(F.date_format(t, "MMMM")), 9, " "))
+        if found in ("MONTH", "Month", "Day"):  # names are padded to nine signs
+            name = F.date_format(t, "EEEE" if found == "Day" else "MMMM")
+            out.append(F.rpad(F.upper(name) if found == "MONTH" else name, 9, " "))
         elif found:
             out.append(F.date_format(t, PATTERNS[found]))
         else:
             out.append(F.lit(template[i]))
         i += len(found) if found else 1
     return F.concat(*out)
+
+
+def make_interval(years=0, months=0, weeks=0, days=0, hours=0, mins=0, secs=0.0) -> Column:
+    """make_interval with named arguments."""
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    years, months, weeks, days, hours, mins, secs = map(as_column, (years, months, weeks, days, hours, mins, secs))
+    micros = (hours * 3600 + mins * 60).cast("long") * 1_000_000 + F.round(secs * 1_000_000).cast("long")
+    return interval(years * 12 + months, weeks * 7 + days, micros)
+
+
+def justify_interval(i: Column) -> Column:
+    """Hours to days, days to months, all parts of one sign."""
+    total = i["months"].cast("long") * 30 * DAY + i["days"].cast("long") * DAY + i["micros"]
+    sign, size = F.signum(total.cast("double")).cast("int"), F.abs(total)
+    days = F.expr("1") * F.floor(size / DAY)
+    return interval(sign * F.floor(days / 30), sign * (days % 30), sign * (size - days * DAY))
+
+
+def isfinite(t: Column) -> Column:
+    """False for the least and the greatest timestamps, which stand for infinity."""
+    s = t.cast("timestamp_ntz")
+    return (s > F.to_timestamp_ntz(F.lit("0001-01-01 00:00:00"))) & (s < F.to_timestamp_ntz(F.lit("9999-12-31 23:59:59")))

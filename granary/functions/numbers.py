@@ -86,3 +86,18 @@ def generate_series(start: Column, stop: Column, step: Column | None = None) ->
     reachable = ((step > 0) & (start <= stop)) | ((step < 0) & (start >= stop))
     zero = F.raise_error(F.lit("step size cannot equal zero")).cast("array<bigint>")
     return F.when(step == 0, zero).when(reachable, F.sequence(start.cast("long"), stop.cast("long"), step.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+
+def atan2d(y: Column, x: Column) -> Column:
+    """Angle of a point in degrees, exact on the axes and diagonals."""
+    return F.when(F.abs(y) == F.abs(x), F.round(F.degrees(F.atan2(y, x)), 0)).when((x == 0) | (y == 0), F.round(F.degrees(F.atan2(y, x)), 0)).otherwise(F.degrees(F.atan2(y, x)))
+
+
+def random(seed: int | None = None) -> Column:
+    """random() after setseed(seed): numbers from 0 to 1; a seed repeats for the same partitions."""
+    return F.rand(seed) if seed is not None else F.rand()
+
+
+def normal_rand(spark, n: int, mean: float, deviation: float, seed: int | None = None):
+    """normal_rand: n rows of normally distributed numbers."""
+    return spark.range(n).select((F.randn(seed) * deviation + mean).alias("normal_rand"))

@@ -95,3 +95,61 @@ def headline(text: Column, words: list[str], start: str = "<b>", stop: str = "</
     """The text with the words marked."""
     pattern = "(?i)\\b(" + "|".join(re.escape(w) for w in words) + ")\\b"
     return F.regexp_replace(text, pattern, f"{start}$1{stop}")
+
+
+# queries as texts
+
+
+def query_and(a: str, b: str) -> str:
+    return f"( {a} ) & ( {b} )"
+
+
+def query_or(a: str, b: str) -> str:
+    return f"( {a} ) | ( {b} )"
+
+
+def query_not(a: str) -> str:
+    return f"!( {a} )"
+
+
+def plain_query(text: str) -> str:
+    """plainto_tsquery: all words but stop words, in any order."""
+    return " & ".join(w for w in re.findall(r"\w+", text.lower()) if w not in STOP)
+
+
+def phrase_query(text: str) -> str:
+    """phraseto_tsquery: the words in a row; stop words widen the gap."""
+    out, gap = "", 1
+    for w in re.findall(r"\w+", text.lower()):
+        if w in STOP:
+            gap += bool(out)
+        else:
+            out += (f" <{gap}> " if gap > 1 else " <-> ") * bool(out) + w
+            gap = 1
+    return out
+
+
+def numnode(query: str) -> int:
+    """Words and operators of a query."""
+    return len(re.findall(r"<-?>|<\d+>|[&|!]|[^\s&|!()<>]+", query))
+
+
+def rank_cd(vector: Column, words: list[str]) -> Column:
+    """Cover density of two or more words: the sum over the shortest stretches that hold all of 0.1 per word over their length.
+
+    A stretch ends at each occurrence of a word and begins at the latest place from which all are in it.
+    """
+    lists = [_places(vector, w) for w in words]
+    every = F.array_sort(F.array_distinct(F.concat(*lists)))
+
+    def begin(end: Column) -> Column:
+        latest = [F.array_max(F.filter(p, lambda x: x <= end)) for p in lists]
+        known = latest[0].isNotNull()
+        for x in latest[1:]:
+            known = known & x.isNotNull()
+        return F.when(known, F.least(*latest) if len(latest) > 1 else latest[0])
+
+    covers = F.filter(F.transform(every, lambda e: F.struct(begin(e).alias("a"), e.alias("b"))), lambda c: c["a"].isNotNull())
+    # of stretches with one beginning the first is the shortest
+    least = F.filter(covers, lambda c, i: (i == 0) | (F.get(covers, i - 1)["a"] != c["a"]))
+    return F.aggregate(least, F.lit(0.0), lambda s, c: s + F.lit(0.1) * len(words) / (c["b"] - c["a"] + 1))

@@ -50,3 +50,26 @@ def earth_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radiu
     """Great-circle distance in statute miles (haversine)."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+
+
+def word_similarity(a: Column, b: Column) -> Column:
+    """The greatest share of a's trigrams that a run of b's words has in common with it: over all single words and pairs of b."""
+    words = F.filter(F.split(F.lower(b), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    runs = F.concat(words, F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1))))
+    x = trigrams(a)
+    return F.when((F.size(x) == 0) | (F.size(words) == 0), 0.0).otherwise(F.array_max(F.transform(runs, lambda r: F.size(F.array_intersect(x, trigrams(r))) / F.size(x))))
+
+
+def similar_pairs(left, right, a: str, b: str, threshold: float = 0.3):
+    """left a % right b: pairs of rows with a similarity of ``threshold`` or more, joined on shared trigrams.
+
+    Only the trigrams that come first in the order of their hashes are joined, as many as a pair above the threshold must
+    share one of, so common trigrams don't make all pairs. Adds ``similarity``.
+    """
+    def keyed(df, column, name):
+        grams = F.array_sort(F.transform(trigrams(F.col(column)), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
+        prefix = F.slice(grams, F.lit(1), F.size(grams) - F.ceil(F.size(grams) * threshold).cast("int") + 1)
+        return df.withColumn(f"_{name}", F.monotonically_increasing_id()).withColumn("_g", F.explode(F.transform(prefix, lambda x: x["g"])))
+
+    met = keyed(left, a, "l").join(keyed(right, b, "r"), "_g").dropDuplicates(["_l", "_r"]).drop("_g", "_l", "_r")
+    return met.withColumn("similarity", similarity(F.col(a), F.col(b))).filter(F.col("similarity") >= threshold)

@@ -94,3 +94,74 @@ def encode_escape(b: Column) -> Column:
         return F.when((n == 0) | (n > 127), octal).when(n == 92, F.lit("\\\\")).otherwise(F.decode(F.unhex(h), "UTF-8"))
 
     return F.array_join(F.transform(pairs, one), "")
+
+
+def substring_pattern(s: Column, pattern: str) -> Column:
+    """substring(s from pattern): the first group of the first match, the whole match without groups, null without a match."""
+    import re
+
+    return F.when(s.rlike(pattern), F.regexp_extract(s, pattern, 1 if re.compile(pattern).groups else 0))
+
+
+def parse_ident(s: Column) -> Column:
+    """A qualified name as an array of identifiers: quoted parts as they are, others lower-cased; a bad name fails."""
+    part = r'"(?:[^"]|"")+"|[\\p{L}_][\\p{L}\\p{N}_$]*'.replace("\\\\", "\\")
+    whole = rf"^\s*({part})\s*(\.\s*({part})\s*)*$"
+    found = F.regexp_extract_all(s, F.lit(f"({part})"), 1)
+    plain = lambda p: F.when(F.startswith(p, F.lit('"')), F.replace(F.substring(p, F.lit(2), F.length(p) - 2), F.lit('""'), F.lit('"'))).otherwise(F.lower(p))
+    error = F.raise_error(F.concat(F.lit("string is not a valid identifier: "), s)).cast("array<string>")
+    return F.when(s.isNull(), F.lit(None)).when(s.rlike(whole), F.transform(found, plain)).otherwise(error)
+
+
+def to_ascii(s: Column) -> Column:
+    """Letters with marks as their ASCII letters, other signs beyond ASCII as blanks."""
+    from .similarity import unaccent
+
+    return F.regexp_replace(unaccent(s), r"[^\x00-\x7F]", " ")
+
+
+def convert_to(s: Column, encoding: str) -> Column:
+    return F.encode(s, encoding)
+
+
+def convert_from(b: Column, encoding: str) -> Column:
+    return F.decode(b, encoding)
+
+
+def convert(b: Column, source: str, target: str) -> Column:
+    return F.encode(F.decode(b, source), target)
+
+
+def get_byte(b: Column, n: Column) -> Column:
+    """Byte n (from 0) as a number; outside fails."""
+    bad = F.raise_error(F.lit("index out of valid range")).cast("int")
+    value = F.conv(F.hex(F.substring(b, n + 1, F.lit(1))), 16, 10).cast("int")
+    return F.when((n < 0) | (n >= F.octet_length(b)), bad).otherwise(value)
+
+
+def set_byte(b: Column, n: Column, value: Column) -> Column:
+    """The bytes with byte n (from 0) replaced by the low eight bits of a value."""
+    one = F.unhex(F.lpad(F.hex(value.bitwiseAND(255)), 2, "0"))
+    bad = F.raise_error(F.lit("index out of valid range")).cast("binary")
+    changed = F.concat(F.substring(b, F.lit(1), n), one, F.substring(b, n + 2, F.octet_length(b)))
+    return F.when((n < 0) | (n >= F.octet_length(b)), bad).otherwise(changed)
+
+
+def get_bit(b: Column, n: Column) -> Column:
+    """Bit n: bits of a byte are counted from its lowest."""
+    return F.shiftright(get_byte(b, F.floor(n / 8).cast("int")), 0).bitwiseAND(F.pow(F.lit(2), n % 8).cast("int")).cast("boolean").cast("int")
+
+
+def set_bit(b: Column, n: Column, value: Column) -> Column:
+    at, mask = F.floor(n / 8).cast("int"), F.pow(F.lit(2), n % 8).cast("int")
+    old = get_byte(b, at)
+    return set_byte(b, at, F.when(value == 1, old.bitwiseOR(mask)).otherwise(old.bitwiseAND(F.lit(255) - mask)))
+
+
+def encode(b: Column, kind: str) -> Column:
+    """encode(bytes, hex | base64 | escape)."""
+    return {"hex": lambda: F.lower(F.hex(b)), "base64": lambda: F.base64(b), "escape": lambda: encode_escape(b)}[kind]()
+
+
+def decode(s: Column, kind: str) -> Column:
+    return {"hex": lambda: F.unhex(s), "base64": lambda: F.unbase64(s)}[kind]()

@@ -163,3 +163,121 @@ def map_delete(m: Column, key: str) -> Column:
 def map_concat(a: Column, b: Column) -> Column:
     """a || b: b's values win."""
     return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+
+# MAC addresses: text 'aa:bb:cc:dd:ee:ff' (or eight bytes)
+
+
+def _mac_bytes(mac: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.regexp_replace(mac, "[:.-]", "")), F.lit("([0-9a-f]{2})"), 1)
+
+
+def mac_text(mac: Column) -> Column:
+    """The usual form of an address written with colons, hyphens, points or nothing."""
+    return F.array_join(_mac_bytes(mac), ":")
+
+
+def mac_trunc(mac: Column) -> Column:
+    """The maker's three bytes, zeros behind."""
+    return F.array_join(F.transform(_mac_bytes(mac), lambda b, i: F.when(i < 3, b).otherwise("00")), ":")
+
+
+def _byte(h: Column) -> Column:
+    return F.conv(h, 16, 10).cast("int")
+
+
+def _hex2(n: Column) -> Column:
+    return F.lpad(F.lower(F.hex(n)), 2, "0")
+
+
+def mac_not(mac: Column) -> Column:
+    return F.array_join(F.transform(_mac_bytes(mac), lambda b: _hex2(F.lit(255) - _byte(b))), ":")
+
+
+def mac_combine(a: Column, b: Column, kind: str) -> Column:
+    """& or | of two addresses of one length."""
+    one = (lambda x, y: x.bitwiseAND(y)) if kind == "&" else (lambda x, y: x.bitwiseOR(y))
+    return F.array_join(F.zip_with(_mac_bytes(a), _mac_bytes(b), lambda x, y: _hex2(one(_byte(x), _byte(y)))), ":")
+
+
+def mac8_set7bit(mac: Column) -> Column:
+    """The address with the seventh bit of its first byte set (for IPv6 host parts)."""
+    return F.array_join(F.transform(_mac_bytes(mac), lambda b, i: F.when(i == 0, _hex2(_byte(b).bitwiseOR(2))).otherwise(b)), ":")
+
+
+def mac_to_mac8(mac: Column) -> Column:
+    """Six bytes as eight, ff:fe in the middle."""
+    b = _mac_bytes(mac)
+    return F.array_join(F.concat(F.slice(b, 1, 3), F.array(F.lit("ff"), F.lit("fe")), F.slice(b, 4, 3)), ":")
+
+
+# IPv6: text 'a::b[/n]', worked on as its 128 bits
+
+
+def inet6_bits(inet: Column) -> Column:
+    """The 128 bits of an address as text of 0 and 1."""
+    address = F.lower(host(inet))
+    halves = F.split(address, "::")
+    groups = lambda h: F.filter(F.split(h, ":"), lambda x: x != "")
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    gap = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0)))
+    return F.array_join(F.transform(F.concat(left, gap, right), lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
+
+
+def inet6_text(bits: Column) -> Column:
+    """Eight groups of hexadecimal digits, none left out."""
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lower(F.conv(F.substring(bits, i * 16 + 1, F.lit(16)), 2, 16))), ":")
+
+
+def inet6_network(inet: Column) -> Column:
+    n = F.coalesce(F.split_part(inet, F.lit("/"), F.lit(2)).try_cast("int"), F.lit(128))
+    return F.concat(inet6_text(F.rpad(F.substring(inet6_bits(inet), F.lit(1), n), 128, "0")), F.lit("/"), n.cast("string"))
+
+
+def inside_network6(a: Column, b: Column) -> Column:
+    """a <<= b"""
+    n = F.coalesce(F.split_part(b, F.lit("/"), F.lit(2)).try_cast("int"), F.lit(128))
+    m = F.coalesce(F.split_part(a, F.lit("/"), F.lit(2)).try_cast("int"), F.lit(128))
+    return (m >= n) & (F.substring(inet6_bits(a), F.lit(1), n) == F.substring(inet6_bits(b), F.lit(1), n))
+
+
+# uuids: text in any of the usual forms
+
+
+def uuid_key(u: Column) -> Column:
+    """32 hexadecimal digits, in whose order uuids sort and compare; a bad one fails."""
+    plain = F.lower(F.regexp_replace(u, "[{}-]", ""))
+    return F.when(plain.rlike("^[0-9a-f]{32}$"), plain).otherwise(F.when(u.isNotNull(), F.raise_error(F.lit("invalid input syntax for type uuid")).cast("string")))
+
+
+# boxes, circles and bit strings
+
+
+def box_center(box: Column) -> Column:
+    return point((box["x1"] + box["x2"]) / 2, (box["y1"] + box["y2"]) / 2)
+
+
+def box_area(box: Column) -> Column:
+    return (box["x2"] - box["x1"]) * (box["y2"] - box["y1"])
+
+
+def box_overlaps(a: Column, b: Column) -> Column:
+    """a && b"""
+    return (a["x1"] <= b["x2"]) & (b["x1"] <= a["x2"]) & (a["y1"] <= b["y2"]) & (b["y1"] <= a["y2"])
+
+
+def box_contains(a: Column, b: Column) -> Column:
+    """a @> b"""
+    return (a["x1"] <= b["x1"]) & (a["y1"] <= b["y1"]) & (a["x2"] >= b["x2"]) & (a["y2"] >= b["y2"])
+
+
+def path_length(points: Column, closed: bool = False) -> Column:
+    """@-@ : the length of a path through points."""
+    n = F.size(points)
+    steps = F.sequence(F.lit(0), n - (1 if closed else 2))
+    gap = lambda i: distance(F.get(points, i), F.get(points, (i + 1) % n))
+    return F.when(n < 2, 0.0).otherwise(F.aggregate(F.transform(steps, gap), F.lit(0.0), lambda a, x: a + x))
+
+
+def circle_area(radius: Column) -> Column:
+    return F.pi() * radius * radius

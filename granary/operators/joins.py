@@ -43,16 +43,39 @@ def null_aware_anti_join(left: DataFrame, right: DataFrame, left_key: str, right
     return kept.join(values.distinct(), F.col(left_key) == F.col("_k"), "left_anti")
 
 
+#: Bins that an interval of a range join is spread over at most, at its level.
+MOST_BINS = 64
+
+
 def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float, how: str = "inner") -> DataFrame:
     """Rows with low <= point < high: intervals are spread over bins of ``width`` and joined on the bin.
 
-    An equi-join on bins instead of a nested loop; a bin holds what starts, ends or lies in it.
+    An equi-join on bins instead of a nested loop; a bin holds what starts, ends or lies in it. An interval of more than
+    MOST_BINS bins is joined at a coarser level, whose bins are MOST_BINS times as wide, so a wide one isn't copied more
+    than MOST_BINS times. Inner, left, semi and anti joins; rows of the right side without a match need bins of their own,
+    so right and full joins are refused.
     """
-    binned = left.withColumn("_bin", F.floor(F.col(point) / width))
-    last = F.when(F.col(high) > F.col(low), F.floor(F.col(high) / width))
-    spread = right.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.coalesce(last, F.floor(F.col(low) / width)))))
-    near = (binned["_bin"] == spread["_bin"]) & (F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))
-    return binned.join(spread, near, how).drop("_bin")
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError("range_join is inner, left, left_semi or left_anti")
+    span = F.greatest((F.col(high) - F.col(low)) / width, F.lit(1.0))
+    level = F.floor(F.log(span) / F.log(F.lit(float(MOST_BINS)))).cast("int")
+    levelled = right.filter(F.col(low) < F.col(high)).withColumn("_level", level)
+    # a point has a bin at each level that some interval has
+    levels = [r["_level"] for r in levelled.select("_level").distinct().collect()] or [0]
+    sized = lambda k: F.lit(float(width)) * F.pow(F.lit(float(MOST_BINS)), k)
+    keyed = left.withColumn("_pid", F.monotonically_increasing_id()) if how != "inner" else left
+    wide = F.array(*[F.struct(F.lit(k).alias("l"), F.floor(F.col(point) / sized(F.lit(k))).alias("b")) for k in levels])
+    binned = keyed.withColumn("_at", F.explode(wide)).select("*", F.col("_at.l").alias("_l"), F.col("_at.b").alias("_bin")).drop("_at")
+    spread = levelled.withColumn("_rbin", F.explode(F.sequence(F.floor(F.col(low) / sized(F.col("_level"))), F.floor(F.col(high) / sized(F.col("_level"))))))
+    near = (F.col("_l") == F.col("_level")) & (F.col("_bin") == F.col("_rbin")) & (F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))
+    if how == "inner" or len(levels) == 1:
+        return binned.join(spread, near, how).drop("_l", "_bin", "_level", "_rbin", "_pid")
+    if how == "left_semi":
+        return binned.join(spread, near, how).dropDuplicates(["_pid"]).select(*left.columns)
+    # a point is without a match if it has none at any level
+    hits = binned.join(spread, near, "inner").drop("_l", "_bin", "_level", "_rbin")
+    found = hits.select("_pid", *right.columns) if how == "left" else hits.select("_pid").distinct()
+    return keyed.join(found, "_pid", how).drop("_pid")
 
 
 def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
@@ -70,11 +93,20 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: st
     return both.select(*[F.col(f"_row.{c}").alias(c) for c in names], *[F.col(f"_v.{c}").alias(f"{c}_as_of") for c in values])
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
-    """Equi-join whose hot left keys are spread: right rows are repeated once per salt. Inner and left joins only."""
-    assert how in ("inner", "left", "left_semi", "left_anti")
-    a = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
-    b = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 16, how: str = "inner", hot_share: float = 0.01) -> DataFrame:
+    """Equi-join whose hot left keys are spread: only right rows of hot keys are repeated, once per salt. Inner and left joins.
+
+    A key is hot if it has more than ``hot_share`` of the left rows: at most 1 / hot_share keys, found by a count with
+    partial aggregation and broadcast. Rows of the other keys have salt 0 on both sides.
+    """
+    assert how in ("inner", "left", "left_semi", "left_anti") and 0 < hot_share <= 1
+    counted = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counted.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
+    hot = counted.filter(F.col("_n") > hot_share * total).select(*keys, F.lit(True).alias("_hot")).limit(int(1 / hot_share) + 1)
+    own = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).otherwise(0)
+    a = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", own).drop("_hot")
+    every = F.when(F.col("_hot"), F.array(*[F.lit(i) for i in range(salts)])).otherwise(F.array(F.lit(0)))
+    b = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(every)).drop("_hot")
     return a.join(b, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -6,18 +6,25 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame, what: str) -> DataFrame:
-    """Cut lineage by way of the folder in spark.checkpoint.dir (one of our own where it is unset)."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only on a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="granary-"))
         base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def _written(df: DataFrame, what: str) -> DataFrame:
+    """Cut lineage by way of the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -27,24 +34,21 @@ def recursive_union(seed: DataFrame, step: Callable[[DataFrame], DataFrame], dis
 
     With ``distinct`` rows that any round had are dropped (nulls equal nulls), so cycles end.
     """
-    new = _written(seed.distinct() if distinct else seed, "round")
-    parts = [new]
-    for _ in range(max_rounds):
+    spark, base = seed.sparkSession, f"{shared_dir(seed.sparkSession)}/recursion-{uuid.uuid4().hex}"
+    start = seed.distinct() if distinct else seed
+    # all rounds are folders of one table, so what was seen is one scan and each round has one anti-join
+    seen = lambda: spark.read.schema(start.schema).parquet(f"{base}/round=*")
+    start.write.parquet(f"{base}/round=0")
+    for k in range(max_rounds):
+        new = spark.read.schema(start.schema).parquet(f"{base}/round={k}")
         if not new.limit(1).count():
-            break
-        found = step(new)
+            return seen()
+        found = step(new).toDF(*start.columns)
         if distinct:
-            found = found.distinct()
-            for seen in parts:
-                found = found.join(seen, [found[c].eqNullSafe(seen[c]) for c in found.columns], "left_anti")
-        new = _written(found, "round")
-        parts.append(new)
-    else:
-        raise RuntimeError("recursion did not end")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+            found, old = found.distinct(), seen()
+            found = found.join(old, [found[c].eqNullSafe(old[c]) for c in start.columns], "left_anti")
+        found.select(*[F.col(c).cast(t) for c, t in start.dtypes]).write.parquet(f"{base}/round={k + 1}")
+    raise RuntimeError("recursion did not end")
 
 
 def connect_by(df: DataFrame, key: str, parent: str, start, max_depth: int = 0, delimiter: str = "~") -> DataFrame:

@@ -1,6 +1,6 @@
 """Queries by area; importing this package registers them all."""
 
-from . import extras, more, relational, scalar  # noqa: F401
+from . import extras, more, relational, scalar, wider  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

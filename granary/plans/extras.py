@@ -16,10 +16,12 @@ def ft02_match(t, spark):
     return t("documents").select("doc_id", search.to_tsvector(col("text")).alias("v")).filter(search.matches(col("v"), "license & mit")).select("doc_id")
 
 
-@query("SELECT doc_id, (len(regexp_extract_all(lower(text), '\\blicense\\b')) > 0)::INT AS hit FROM documents WHERE lang = 'en'")
+@query("""
+SELECT doc_id, round(coalesce(list_sum(list_transform(range(1, n + 1), lambda k: 0.1 / (k * k))), 0) / 1.64493406685, 9) AS rank FROM
+  (SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w IN ('license', 'licenses'))) AS n FROM documents)""")
 def ft03_rank(t, spark):
     v = search.to_tsvector(col("text"))
-    return t("documents").filter("lang = 'en'").select("doc_id", (search.rank(v, ["license"]) > 0).cast("int").alias("hit"))
+    return t("documents").select("doc_id", F.round(search.rank(v, ["license"]), 9).alias("rank"))
 
 
 @query("SELECT user_id, '10.' || user_id % 256 || '.' || event_id % 256 || '.7/24' AS a, '10.' || user_id % 256 || '.' || event_id % 256 || '.0/24' AS net, '10.' || user_id % 256 || '.' || event_id % 256 || '.255/24' AS bc, user_id % 256 = 7 AS inside FROM events")
@@ -62,10 +64,10 @@ def ex01_maps(t, spark):
     return t("nation").select("n_nationkey", F.array_join(F.sort_array(F.map_keys(m)), ",").alias("keys"), F.element_at(m, "k").alias("k"), values.map_contains(m, F.create_map(lit("a"), lit("2"))).alias("has"))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem")
 def f01_sql_function(t, spark):
     user.sql_function(spark, "net_price", "p DOUBLE, d DOUBLE", "DOUBLE", "p * (1 - d)")
-    return t("lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_linenumber", F.round(F.expr("net_price(l_extendedprice, l_discount)"), 4).alias("net"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.round(F.expr("net_price(l_extendedprice, l_discount)"), 4).alias("net"))
 
 
 @query("SELECT l_returnflag, round(sum(l_quantity * l_quantity), 2) AS q FROM lineitem GROUP BY 1")
@@ -76,8 +78,7 @@ def f05_user_aggregate(t, spark):
 
 @query("SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word FROM part")
 def f07_table_function(t, spark):
-    t("part").createOrReplaceTempView("_parts")
-    return spark.sql("SELECT p_partkey, word FROM _parts, LATERAL explode(split(p_type, ' ')) AS w(word)")
+    return spark.sql("SELECT p_partkey, word FROM {parts}, LATERAL explode(split(p_type, ' ')) AS w(word)", parts=t("part"))
 
 
 @query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -88,7 +89,10 @@ def st06_tumbling_window(t, spark):
 @query("SELECT c_custkey, '***' || right(c_name, 4) AS name FROM customer WHERE c_acctbal > 0")
 def p32_masking_view(t, spark):
     """A view with a row policy and a masked column."""
-    return t("customer").filter("c_acctbal > 0").select("c_custkey", F.concat(lit("***"), F.right("c_name", lit(4))).alias("name"))
+    from ..operators import policies
+
+    allowed = policies.row_policy(t("customer"), col("c_acctbal") > 0)
+    return policies.masked(allowed.select("c_custkey", col("c_name").alias("name")), {"name": policies.keep_last(col("name"), 4)})
 
 
 @query("SELECT row_number() OVER (ORDER BY c_custkey) + 99 AS id, c_custkey FROM customer")
