@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, documents, materialize, of_row, packed, unpacked
+from .common import SPACES, documents, materialize, of_row, packed, shared_dir, unpacked
 
 #: Bits of a filter per line, and bounds of a filter's size in bits. A filter of 2**30 bits (128 MB) is the largest that
-#: is sent to workers (building takes two); with more lines it has more false positives: more lines are confirmed exactly, none is lost.
+#: is sent to workers (building takes two); more lines are dealt into ranges of their hashes, each with filters of its own.
 BITS_PER_LINE, MIN_BITS, MAX_BITS = 12, 1 << 20, 1 << 30
 PROBES = 3
 #: Bits of a chunk, the piece in which filters are merged, and of a stretch that is sent at a time.
@@ -116,9 +118,25 @@ def repeated_keys(rows: DataFrame, min_docs: int) -> DataFrame:
 
     ``rows`` has _id and _keys, an array of (h1, h2) of the row's distinct keys.
     """
+    n_lines = rows.agg(F.coalesce(F.sum(F.size("_keys")), F.lit(0)).alias("n")).first()["n"]
+    n_ranges = -(-n_lines * BITS_PER_LINE // MAX_BITS)
+    if n_ranges <= 1:
+        return repeated_in(rows, n_lines, min_docs)
+    # each range is a folder, so that a round reads its own lines only; filters stay full of true hits at any size
+    spark, path = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/line-ranges-{uuid.uuid4().hex}"
+    keyed = rows.select("_id", F.explode("_keys").alias("k"))
+    number = F.pmod(F.shiftrightunsigned(F.col("k.h1"), 40), F.lit(n_ranges)).cast("int")
+    keyed.select("_id", F.array("k").alias("_keys"), number.alias("_range")).write.partitionBy("_range").parquet(f"{path}/lines")
+    for r in range(n_ranges):
+        part = spark.read.schema(rows.schema).parquet(f"{path}/lines/_range={r}")
+        repeated_in(part, part.count(), min_docs).write.parquet(f"{path}/repeats/round={r}")
+    return spark.read.schema("h1 long, h2 long, keep long").parquet(f"{path}/repeats/round=*")
+
+
+def repeated_in(rows: DataFrame, n_lines: int, min_docs: int) -> DataFrame:
+    """The same for rows of so many lines, by one pair of filters."""
     spark = rows.sparkSession
     firsts = rows.select(F.transform("_keys", lambda k: k["h1"]).alias("hashes"))
-    n_lines = firsts.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0)).alias("n")).first()["n"]
     shared = spark.sparkContext.broadcast(twice_filter(firsts, n_lines))
 
     def suspects(batches):

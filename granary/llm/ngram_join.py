@@ -77,6 +77,14 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return value[(left >= WORDS) | (place == 0)], np.where(n_words >= WORDS, n_words - WORDS + 1, np.minimum(n_words, 1))
 
 
+def shingles_by_slices(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for any amount of text: only a slice's words are held at a time, beside the hashes."""
+    parts = [shingles(texts[a:b]) for a, b in slices(list(map(len, texts)), 2_000_000)]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([h for h, _ in parts]), np.concatenate([n for _, n in parts])
+
+
 def signatures(texts: list[bytes]) -> list[bytes | None]:
     """HASHES MinHash values of 16 bits for each text; None without shingles."""
     hashes, counts = shingles(texts)
@@ -311,7 +319,7 @@ def verified_links(texts: DataFrame, threshold: float) -> DataFrame:
             if len(nodes) < 2:
                 continue
             i, j, side = (group.column(c).to_numpy() for c in ("i", "j", "side"))
-            hashes, counts = shingles(group.column("_text").to_pylist())
+            hashes, counts = shingles_by_slices(group.column("_text").to_pylist())
             left = np.flatnonzero(side == i)
             right = None if i[0] == j[0] else np.flatnonzero(side == j)
             links, low = count_links(signature_table(group.column("sig")), hashes, counts, left, right, least, threshold)
@@ -323,7 +331,7 @@ def verified_links(texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def similarity_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """All links between texts whose sets of five-word shingles have a Jaccard similarity of ``threshold`` or more.
+    """All links between texts whose sets of five-word shingles have a Jaccard similarity of ``threshold`` (0.8 at least) or more.
 
     Returns one row per row of ``df``: id, class_id (the least id of all rows that links and equal texts connect with
     it), copy_of (the least id of the rows with the same text), n_links (other different texts that are linked with its
@@ -333,6 +341,8 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     but equal ones are of one class. Ids may be null or repeated: null ids are passed over when the least is taken (a
     class of null ids has class_id null). An empty table gives an empty result; other columns don't matter.
     """
+    if threshold < THRESHOLD:
+        raise ValueError(f"bands and the test propose pairs of {THRESHOLD} or more")
     signed = materialize(sign(df, id_col, text), "signatures")
     classes = signed.groupBy("h1", "h2").agg(F.min("_id").alias("copy_of"), F.first("sig").alias("sig"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")

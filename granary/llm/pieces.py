@@ -193,9 +193,24 @@ class PieceModel:
         return out
 
 
+#: Texts on which a model is held against the library when it is loaded.
+PROBES = [
+    "", " ", "  two  blanks ", "Ein Wort, noch eins.\r\n\tIT'S 12,5 % (a-b)", "É é E\u0301 İstanbul ΣΑΣ ﬁ ½ Straße", "a\u00a0b\u3000c\u200bd", "日本語 한국어 ไทย עברית",
+    "😀 a😀b", "<s> </s> <unk> ▁ ▁▁a", "\x00\x01 ￿", "ab" * 40 + "=" * 33 + "a" * 50, "\n\n \n x",
+]
+
+
 @lru_cache(maxsize=2)
 def load_model(path: str) -> PieceModel:
-    return PieceModel(path)
+    """The model's tables; fails for a model whose ids they don't give (normalisation rules, pieces of its user, unigrams)."""
+    import sentencepiece
+
+    model, library = PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    want = library.encode(PROBES, add_bos=True, add_eos=True)
+    got = model.encode(PROBES)
+    if [np.frombuffer(x, "<u4").tolist() for x in got] != want or model.decode(got) != [library.decode(x) for x in want]:
+        raise ValueError(f"{path}: not a byte-fallback BPE model without normalisation rules")
+    return model
 
 
 def slices(lengths: list[int], limit: int = SLICE_CHARS):

@@ -11,13 +11,20 @@ from .common import documents, of_row, packed, text_of, unpacked
 ROUNDS, MAX_WALK = 6, 256
 
 
-def number_rows(df: DataFrame, order: list[str], buckets: int = 4096) -> DataFrame:
+#: Rows of a bucket that are sorted together, and the least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 50_000, 4096
+
+
+def number_rows(df: DataFrame, order: list[str], buckets: int | None = None) -> DataFrame:
     """Add row_no (0-based, gapless) and n_rows.
 
     The order is that of the hash buckets of ``order`` and, in a bucket, of the columns themselves, so it depends on
     the rows alone and not on how they are partitioned. Each bucket is sorted by itself; only ``buckets`` counts meet
-    in one task. Nulls are values like others; rows equal in ``order`` get neighbouring numbers in any order.
+    in one task; without a number given it is a power of two that grows with the number of rows. Nulls are values like
+    others; rows equal in ``order`` get neighbouring numbers in any order.
     """
+    if buckets is None:
+        buckets = max(LEAST_BUCKETS, 1 << (max(df.count(), 1) // BUCKET_ROWS).bit_length())
     keys = [of_row(c) for c in order]
     bucketed = packed(df).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
     counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -49,18 +56,22 @@ def feistel(x: Column, n: Column, seed: int, rounds: int = ROUNDS) -> Column:
         )
 
     def once(v: Column) -> Column:
-        start = F.struct(F.floor(v / b).cast("long").alias("left"), F.pmod(v, b).alias("right"), a.alias("m_left"), b.alias("m_right"))
+        start = F.struct(F.call_function("div", v, b).alias("left"), F.pmod(v, b).alias("right"), a.alias("m_left"), b.alias("m_right"))
         # an even number of rounds leaves the halves in their places
         return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, one_round, lambda s: s["left"] * s["m_right"] + s["right"])
 
     def walk(v: Column, _: Column) -> Column:
         return F.when(v < n, v).otherwise(once(v))
 
-    y = F.aggregate(F.sequence(F.lit(2), F.lit(MAX_WALK)), once(x), walk)
-    return F.when(y < n, y).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long"))
+    def walked(y: Column) -> Column:
+        end = F.aggregate(F.sequence(F.lit(2), F.lit(MAX_WALK)), y, walk)
+        return F.when(end < n, end).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long"))
+
+    # few positions lie beyond n; only those walk
+    return F.aggregate(F.array(once(x)), F.lit(None).cast("long"), lambda _, y: F.when(y < n, y).otherwise(walked(y)))
 
 
-def shard_rows(df: DataFrame, order: list[str], n_shards: int = 8, seed: int = 20, buckets: int = 4096) -> DataFrame:
+def shard_rows(df: DataFrame, order: list[str], n_shards: int = 8, seed: int = 20, buckets: int | None = None) -> DataFrame:
     """Deal rows into shards by a reproducible shuffle: adds row_no, position, shard and slot.
 
     position = feistel(row_no); shard = position mod n_shards, slot = position div n_shards. Shard sizes differ by one
@@ -73,7 +84,7 @@ def shard_rows(df: DataFrame, order: list[str], n_shards: int = 8, seed: int = 2
     placed = number_rows(plain, order, buckets).withColumn("position", feistel(F.col("row_no"), F.col("n_rows"), seed))
     return placed.withColumns({
         "shard": F.pmod(F.col("position"), F.lit(n_shards)).cast("int"),
-        "slot": F.floor(F.col("position") / n_shards).cast("long"),
+        "slot": F.call_function("div", F.col("position"), F.lit(n_shards)),
     }).drop("n_rows")
 
 

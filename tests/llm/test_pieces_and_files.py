@@ -30,6 +30,20 @@ def test_pieces_are_those_of_the_library():
     assert model.decode(got) == [sp.decode(x) for x in want]
 
 
+def test_query_on_all_documents_is_the_library(spark):
+    import hashlib
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    want = []
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        ids = sp.encode(r["text"] or "", add_bos=True, add_eos=True)
+        want.append((r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()))
+    got = pieces.op2_sentencepiece(spark, str(DATA)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert key(got) == key(want)
+
+
 def test_encode_decode_of_odd_rows(spark):
     import sentencepiece
 

@@ -31,6 +31,32 @@ def test_shards_are_even_gapless_and_repeatable(spark):
     assert all(r["size"] == len(texts[r["doc_id"]].encode()) + 1 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) for r in rows)
 
 
+def test_placement_is_that_of_plain_integers(spark):
+    """Positions of all documents by a Feistel network in plain Python, with Spark's hash of (right half, round, seed)."""
+    rows = sharding.op4_sharding(spark, str(DATA)).collect()
+    n = len(rows)
+    a = math.ceil(math.sqrt(n))
+    b = math.ceil(n / a)
+    halves = [(r, k) for r in range(max(a, b)) for k in range(1, 7)]
+    hashed = spark.createDataFrame(halves, "r long, k int").select("r", "k", F.xxhash64("r", "k", F.lit(20)).alias("h")).collect()
+    h = {(x["r"], x["k"]): x["h"] for x in hashed}
+
+    def once(v):
+        left, right, ml, mr = v // b, v % b, a, b
+        for k in range(1, 7):
+            left, right, ml, mr = right, (left + h[right, k] % ml) % ml, mr, ml
+        return left * mr + right
+
+    def place(v):
+        v = once(v)
+        while v >= n:
+            v = once(v)
+        return v
+
+    assert sorted(r["row_no"] for r in rows) == list(range(n))
+    assert all((r["position"], r["shard"], r["slot"]) == (place(r["row_no"]), place(r["row_no"]) % 8, place(r["row_no"]) // 8) for r in rows)
+
+
 def test_shards_of_odd_rows(spark):
     out = sharding.shard_rows(table(spark), ["doc_id", "text"], n_shards=3)
     rows = out.collect()
