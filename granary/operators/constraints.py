@@ -30,10 +30,14 @@ def orphans(df: DataFrame, keys: list[str], parent: DataFrame, parent_keys: list
 
 
 def excluded(df: DataFrame, keys: list[str], lower: str, upper: str) -> DataFrame:
-    """EXCLUDE (keys WITH =, range WITH &&): rows that begin before another row of their keys has ended (half-open ranges)."""
+    """EXCLUDE (keys WITH =, range WITH &&): rows that begin before another row of their keys has ended (half-open ranges).
+
+    Of rows with one range the later ones by their other columns are reported.
+    """
     from pyspark.sql import Window
 
-    over = Window.partitionBy(*keys).orderBy(lower, upper).rowsBetween(Window.unboundedPreceding, -1)
+    ties = [c for c in df.columns if c not in (*keys, lower, upper)]
+    over = Window.partitionBy(*keys).orderBy(lower, upper, *ties).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("_until", F.max(upper).over(over)).filter(F.col("_until") > F.col(lower)).drop("_until")
 
 

@@ -89,7 +89,7 @@ def d09_foreign_key_violations(t, spark):
 
 @query("""
 SELECT o_orderkey FROM (SELECT o_orderkey, o_orderdate AS a,
-  max(o_orderdate + INTERVAL 30 DAY) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderdate + INTERVAL 30 DAY
+  max(o_orderdate + INTERVAL 30 DAY) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderdate + INTERVAL 30 DAY, o_orderkey
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM orders) WHERE u > a""")
 def d09_exclusion_violations(t, spark):
     spans = t("orders").select("o_orderkey", "o_custkey", col("o_orderdate").alias("a"), (col("o_orderdate") + F.expr("INTERVAL 30 DAYS")).alias("b"))
