@@ -42,6 +42,27 @@ def partitions_for(df: DataFrame, bytes_each: int = 64 << 20) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-estimate // bytes_each), 100_000))
 
 
+#: A key with more than this share of a table's rows is dealt over several tasks by join_facts.
+HOT_SHARE = 1 / 4096
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, total: int, by: list[str | Column]) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, which has one row per key, so that no key's rows meet in one task.
+
+    ``size`` is the column of ``facts`` that counts the key's rows in ``rows`` (it is dropped), ``total`` at least the
+    number of all rows. A key with more than HOT_SHARE of them is cut into pieces of that many by a hash of ``by``, and
+    its facts are repeated for each piece. There are fewer than 1 / HOT_SHARE such keys whatever the data, so their table
+    (key and number of pieces) is broadcast. Keys are not null.
+    """
+    limit = max(total * HOT_SHARE, 1.0)
+    hot = facts.filter(F.col(size) > limit).select(*keys, F.ceil(F.col(size) / limit).cast("int").alias("_pieces"))
+    piece = F.when(F.col("_pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("_pieces").cast("long"))).cast("int")
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_piece", piece).drop("_pieces")
+    pieces = F.when(F.col(size) > limit, F.ceil(F.col(size) / limit)).otherwise(1).cast("int")
+    spread = facts.withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop(size)
+    return dealt.join(spread, [*keys, "_piece"]).drop("_piece")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, of_row, packed, text_keys, unpacked
+from .common import documents, join_facts, materialize, of_row, packed, text_keys, unpacked
 from .graphs import connected_components
 from .pieces import slices
 
@@ -232,9 +232,10 @@ def candidate_components(classes: DataFrame) -> DataFrame:
     # a bucket per set of texts: buckets of other bands with just the same texts add nothing
     buckets = (
         keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lo"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.sum(F.xxhash64(F.lit(7), "node").cast("decimal(38,0)")).alias("s2"))
-        .filter("size > 1").groupBy("size", "lo", "s1", "s2").agg(F.min("key").alias("key")).select("key", "size")
+        .filter("size > 1").groupBy("size", "lo", "s1", "s2").agg(F.min("key").alias("key")).select("key", "size", F.col("size").alias("_rows"))
     )
-    members = in_blocks(keyed.join(buckets, "key"), "size", BUCKET_BLOCK, "node", own=False).select("key", "i", "j", "node")
+    found = join_facts(keyed, buckets, ["key"], "_rows", classes.filter("sig IS NOT NULL").count() * BANDS, by=["node"])
+    members = in_blocks(found, "size", BUCKET_BLOCK, "node", own=False).select("key", "i", "j", "node")
     signed = members.join(classes.select("node", "sig"), "node")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = signed.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").select("key", "i", "j", "node", "sig")
@@ -344,11 +345,12 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     if threshold < THRESHOLD:
         raise ValueError(f"bands and the test propose pairs of {THRESHOLD} or more")
     signed = materialize(sign(df, id_col, text), "signatures")
-    classes = signed.groupBy("h1", "h2").agg(F.min("_id").alias("copy_of"), F.first("sig").alias("sig"))
+    classes = signed.groupBy("h1", "h2").agg(F.min("_id").alias("copy_of"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     near = materialize(candidate_components(classes), "candidates")
-    sizes = near.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    members = near.join(sizes, "root").join(classes, "node").withColumnRenamed("copy_of", "_of")
+    sizes = near.groupBy("root").agg(F.count(F.lit(1)).alias("size")).withColumn("_rows", F.col("size"))
+    sized = join_facts(near, sizes, ["root"], "_rows", near.count(), by=["node"])
+    members = sized.join(classes.drop("copies"), "node").withColumnRenamed("copy_of", "_of")
     h1, h2 = text_keys(F.coalesce(F.col(text), F.lit("")))
     rows = df.select(F.col(id_col).cast("long").alias("_id"), h1.alias("t1"), h2.alias("t2"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
     held = rows.join(members.hint("shuffle_hash"), (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")) & F.col("_id").eqNullSafe(F.col("_of")))
@@ -358,10 +360,12 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     settled = links.filter("NOT split").select("node", F.col("low").alias("top"))
     met = connected_components(links.filter("split AND node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
     tops = settled.union(met.select("node", F.col("root").alias("top")))
-    rated = classes.select("h1", "h2", "copy_of", "node").join(counts, "node", "left").join(tops, "node", "left").withColumn("top", F.coalesce("top", "node"))
-    heads = rated.groupBy("top").agg(F.min(F.struct(F.col("copy_of").isNull().alias("none"), "copy_of", "h1", "h2")).alias("head"))
-    rated = rated.join(heads, "top").select("h1", "h2", "copy_of", F.coalesce("n_links", F.lit(0)).alias("n_links"), "head")
-    out = signed.drop("sig").join(rated, ["h1", "h2"])
+    rated = classes.drop("sig").join(counts, "node", "left").join(tops, "node", "left").withColumn("top", F.coalesce("top", "node"))
+    heads = rated.groupBy("top").agg(F.min(F.struct(F.col("copy_of").isNull().alias("none"), "copy_of", "h1", "h2")).alias("head"), F.count(F.lit(1)).alias("_n"))
+    rated = join_facts(rated, heads, ["top"], "_n", classes.count(), by=["node"])
+    rated = materialize(rated.select("h1", "h2", "copy_of", F.coalesce("n_links", F.lit(0)).alias("n_links"), "head", "copies"), "rated")
+    # copies of one text may be a third of all rows; ids may be null or repeated, so rows are dealt by their place too
+    out = join_facts(signed.drop("sig"), rated, ["h1", "h2"], "copies", signed.count(), by=["_id", F.monotonically_increasing_id()])
     first = F.col("_id").eqNullSafe(F.col("head.copy_of")) & (F.col("h1") == F.col("head.h1")) & (F.col("h2") == F.col("head.h2"))
     return out.select(F.col("_id").alias(id_col), F.col("head.copy_of").alias("class_id"), "copy_of", "n_links", "h1", "h2", first.alias("first"))
 
