@@ -78,19 +78,46 @@ def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: st
     return keyed.join(found, "_pid", how).drop("_pid")
 
 
+#: Stretches of time that an as-of join cuts the histories of its keys into.
+STRETCHES = 32
+
+
+def _stretch(df: DataFrame, time: str) -> list:
+    """Times that cut the rows of ``df`` into STRETCHES parts of about the same size (fewer where times repeat)."""
+    shares = [k / STRETCHES for k in range(1, STRETCHES)]
+    cuts = df.agg(F.percentile_approx(time, shares, 1000).alias("c")).first()["c"]
+    return sorted(set(cuts or []))
+
+
 def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
     """For each left row the values of the latest right row of its key at or before its time; nulls if there is none.
 
-    One shuffle by key: both sides are united, sorted by time, and the last right row is carried forward.
+    Times are numbers, dates or timestamps. Time is cut into STRETCHES stretches of about as many rows each, so a key's
+    rows are sorted in as many tasks, however hot it is: inside a stretch the last right row is carried forward, and what
+    a stretch inherits is the last value of the stretches before it, of which a key has at most STRETCHES. Right rows
+    without a time match nothing, left rows without a time or with a null key get nulls. Of right rows of one key and
+    time the greatest by ``values`` counts.
     """
-    names = left.columns
-    empty = F.lit(None)
-    a = left.select(*[F.col(k) for k in keys], F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*names).alias("_row"), empty.alias("_v"))
+    names, missing = left.columns, F.lit(None)
     v = F.struct(*[F.col(c) for c in values])
-    b = right.select(*[F.col(k) for k in keys], F.col(right_time).alias("_t"), F.lit(0).alias("_side"), empty.alias("_row"), v.alias("_v"))
-    over = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("_v", F.last("_v", ignorenulls=True).over(over)).filter("_side = 1")
-    return both.select(*[F.col(f"_row.{c}").alias(c) for c in names], *[F.col(f"_v.{c}").alias(f"{c}_as_of") for c in values])
+    a = left.select(*[F.col(k) for k in keys], F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*names).alias("_row"), missing.alias("_v"))
+    b = right.filter(F.col(right_time).isNotNull()).select(*[F.col(k) for k in keys], F.col(right_time).alias("_t"), F.lit(0).alias("_side"), missing.alias("_row"), v.alias("_v"))
+    for k in keys:  # a null key equals nothing
+        b = b.filter(F.col(k).isNotNull())
+    both = a.unionByName(b)
+    stretch = F.lit(0)
+    for cut in _stretch(both.select("_t"), "_t"):
+        stretch = stretch + F.coalesce((F.col("_t") > F.lit(cut)).cast("int"), F.lit(-STRETCHES))
+    both = both.withColumn("_stretch", F.greatest(stretch, F.lit(-1)))  # -1: without a time
+    inside = Window.partitionBy(*keys, "_stretch").orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("_v", F.last("_v", ignorenulls=True).over(inside)).filter("_side = 1")
+    last = b.withColumn("_stretch", F.greatest(stretch, F.lit(-1))).groupBy(*keys, "_stretch").agg(F.max_by("_v", F.struct("_t", "_v")).alias("_last"))
+    ahead = Window.partitionBy(*keys).orderBy("_stretch")
+    # what the next stretches inherit, up to the next stretch that has a right row of its own
+    spans = last.withColumn("_next", F.coalesce(F.lead("_stretch").over(ahead), F.lit(STRETCHES)))
+    spans = spans.select(*keys, F.explode(F.sequence(F.col("_stretch") + 1, F.col("_next"))).alias("_stretch"), "_last")
+    out = near.join(spans, [*keys, "_stretch"], "left").withColumn("_v", F.coalesce("_v", "_last"))
+    return out.select(*[F.col(f"_row.{c}").alias(c) for c in names], *[F.col(f"_v.{c}").alias(f"{c}_as_of") for c in values])
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 16, how: str = "inner", hot_share: float = 0.01) -> DataFrame:

@@ -109,3 +109,23 @@ def test_interval_partitions(spark, tmp_path):
     partitions.write_partitioned(spark.range(100), str(tmp_path / "t"), "id", 0, 10, "int", 10)
     plan = spark.read.parquet(str(tmp_path / "t")).filter("_part = 3")
     assert plan.count() == 10 and "PartitionFilters: [isnotnull(_part" in plan._jdf.queryExecution().toString()
+
+
+def test_as_of_join_over_stretches_of_time(spark):
+    import random
+
+    pick = random.Random(5)
+    time = lambda: None if pick.random() < 0.05 else pick.randrange(300)
+    key = lambda: pick.choice(["hot"] * 8 + ["a", "b", None])
+    left = [(i, key(), time()) for i in range(400)]
+    right = [(key(), time(), pick.choice([None, 1, 2, 3])) for _ in range(150)]
+    a, b = spark.createDataFrame(left, "id long, k string, t int"), spark.createDataFrame(right, "k string, u int, v int")
+    got = {r["id"]: r["v_as_of"] for r in joins.as_of_join(a, b, ["k"], "t", "u", ["v"]).collect()}
+    want = {}
+    for i, k, t in left:
+        before = [(u, -1 if v is None else v) for x, u, v in right if None not in (x, u, t) and x == k and u <= t]
+        v = max(before)[1] if before else None
+        want[i] = None if v == -1 else v
+    assert got == want
+    assert joins.as_of_join(a, b.limit(0), ["k"], "t", "u", ["v"]).filter("v_as_of IS NULL").count() == 400
+    assert joins.as_of_join(a.limit(0), b.limit(0), ["k"], "t", "u", ["v"]).count() == 0
