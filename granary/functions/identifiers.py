@@ -48,6 +48,25 @@ def is_isbn10(isbn: Column) -> Column:
     return plain.rlike("^[0-9]{9}[0-9X]$") & (total % 11 == 0)
 
 
+def is_issn(issn: Column) -> Column:
+    """Whether the check sign (X is 10) of an ISSN (with or without hyphen) fits."""
+    plain = F.upper(F.replace(issn, F.lit("-"), F.lit("")))
+    digits = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.when(c == "X", 10).otherwise(c.try_cast("int")))
+    total = F.aggregate(F.transform(digits, lambda d, i: d * (8 - i)), F.lit(0), lambda a, x: a + x)
+    return plain.rlike("^[0-9]{7}[0-9X]$") & (total % 11 == 0)
+
+
+def is_ean13(ean: Column) -> Column:
+    """Whether the check digit of an EAN13 (with or without hyphens) fits."""
+    plain = F.replace(ean, F.lit("-"), F.lit(""))
+    return plain.rlike("^[0-9]{13}$") & (ean13_check_digit(F.substring(plain, 1, 12)).cast("string") == F.substring(plain, 13, 1))
+
+
+def is_upc(upc: Column) -> Column:
+    """Whether the check digit of a UPC fits: an EAN13 without its leading zero."""
+    return F.length(F.replace(upc, F.lit("-"), F.lit(""))).eqNullSafe(12) & is_ean13(F.concat(F.lit("0"), upc))
+
+
 #: English number words (fixed values).
 SMALL = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = "zero ten twenty thirty forty fifty sixty seventy eighty ninety".split()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import Column
@@ -139,6 +141,36 @@ def is_ancestor(a: Column, b: Column) -> Column:
     return (a == "") | (a == b) | F.startswith(b, F.concat(a, F.lit(".")))
 
 
+def _label_pattern(label: str) -> str:
+    """A label of a path pattern with its marks: @ for any case, * for a prefix, % for whole words between underscores."""
+    name = label.rstrip("@*%")
+    marks = label[len(name) :]
+    if not re.fullmatch(r"\w+", name):
+        raise ValueError(f"not a label of a path pattern: {label!r}")
+    tail = r"[^._]*" if "*" in marks else ""
+    found = "_".join(w + tail for w in name.split("_")) + "(?:_[^.]*)?" if "%" in marks else name + ("[^.]*" if "*" in marks else "")
+    return f"(?iu:{found})" if "@" in marks else found
+
+
+def path_matches(path: Column, pattern: str) -> Column:
+    """ltree ~ lquery: items between dots are labels, alternatives a|b, their negation !a|b, or * with {n}, {n,}, {n,m}, {,m}.
+
+    The pattern is a constant, so it becomes one regular expression; null paths give null.
+    """
+    out = []
+    for item in re.split(r"\.(?![^{]*\})", pattern):
+        star = re.fullmatch(r"\*(?:\{(\d*)(,?)(\d*)\})?", item)
+        if star:
+            least, comma, most = star.groups()
+            times = "*" if comma is None else "{%s}" % least if not comma else "{%s,%s}" % (least or "0", most)
+            out.append(r"(?:\.[^.]+)" + times)
+        else:
+            any_of = "|".join(map(_label_pattern, item.removeprefix("!").split("|")))
+            out.append(rf"\.(?!(?:{any_of})(?:\.|$))[^.]+" if item.startswith("!") else rf"\.(?:{any_of})")
+    dotted = F.when(path == "", F.lit("")).otherwise(F.concat(F.lit("."), path))
+    return dotted.rlike(f"^{''.join(out)}$")
+
+
 def lca(a: Column, b: Column) -> Column:
     """Longest common ancestor of two paths (a proper ancestor of both)."""
     x, y = F.split(a, r"\."), F.split(b, r"\.")

@@ -38,6 +38,35 @@ def agg(value: Column, order: Column) -> Column:
     return F.array_join(F.transform(rows, lambda x: x["v"]), "")
 
 
+def row_elements(df: DataFrame, row: str = "row", nulls: bool = False) -> DataFrame:
+    """table_to_xml and query_to_xml by rows: one fragment per row in the column ``xml``, an element per column.
+
+    Nulls are left out, or marked xsi:nil with ``nulls``. A document of all rows is text files of these fragments
+    between a head and a tail; no task ever holds the table.
+    """
+    nil = ' xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"' if nulls else ""
+    cells = []
+    for c in df.columns:
+        cell = F.concat(F.lit(f"<{c}>"), escape(F.col(f"`{c}`").cast("string")), F.lit(f"</{c}>"))
+        cells.append(F.coalesce(cell, F.lit(f'<{c} xsi:nil="true"/>' if nulls else "")))
+    return df.select(F.concat(F.lit(f"<{row}{nil}>"), *cells, F.lit(f"</{row}>")).alias("xml"))
+
+
+def xpath(document: Column, path: str) -> Column:
+    """The texts at a path, as an array."""
+    return F.xpath(document, F.lit(path))
+
+
+def xpath_list(document: Column, path: str, separator: str = ",") -> Column:
+    """xml2: the texts at a path in one string."""
+    return F.array_join(F.xpath(document, F.lit(path)), separator)
+
+
+def xpath_exists(document: Column, path: str) -> Column:
+    """Whether a path finds a node."""
+    return F.xpath_boolean(document, F.lit(path))
+
+
 def _schema(paths: list[list[str]]) -> str:
     """DDL of a struct that has a text field at each path."""
     below: dict[str, list[list[str]]] = {}
