@@ -205,3 +205,15 @@ def test_long_texts_without_spots_by_anchors_have_fingerprints(spark):
     assert len(sets["anchorless"]) == 40 and len(sets["anchors"]) == 1
     assert len(sets["unspaced"]) > 250 and len(sets["unspaced, ascii words"]) > 550 and len(sets["one token"]) > 5
     assert not sets["unspaced"] & sets["one token"]
+
+
+def test_join_facts_gives_the_rows_of_a_join(spark):
+    from granary.llm.common import join_facts
+
+    rows = spark.range(9000).selectExpr("CASE WHEN id % 3 = 0 THEN -1 ELSE id % 500 END AS k", "id AS v")
+    facts = rows.groupBy("k").count().selectExpr("k", "count AS n", "k * 2 AS f")
+    got = join_facts(rows, facts, ["k"], "n", 9000, by=["v"])
+    want = rows.join(facts.drop("n"), "k")
+    assert sorted(got.columns) == sorted(want.columns)
+    assert got.exceptAll(want.select(got.columns)).count() == 0 and got.count() == 9000
+    assert join_facts(rows.limit(0), facts.limit(0), ["k"], "n", 0, by=["v"]).count() == 0
