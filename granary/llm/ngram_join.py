@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, join_facts, materialize, of_row, packed, text_keys, unpacked
@@ -22,6 +22,8 @@ HASHES = BANDS * ROWS
 STEP, TOLERANCE = 8, 1e-9
 #: Texts of a block when a bucket or a component is split; a task holds two blocks.
 BUCKET_BLOCK, TEXT_BLOCK = 2048, 512
+#: Shingles of all texts of a component's block together, and of the texts that one text is compared with at a time.
+SHINGLE_BLOCK, SHINGLES_AT_ONCE = 500_000, 500_000
 
 _rng = np.random.default_rng(20240501)
 _MULTIPLY = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -77,21 +79,26 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return value[(left >= WORDS) | (place == 0)], np.where(n_words >= WORDS, n_words - WORDS + 1, np.minimum(n_words, 1))
 
 
-def shingles_by_slices(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The same for any amount of text: only a slice's words are held at a time, beside the hashes."""
-    parts = [shingles(texts[a:b]) for a, b in slices(list(map(len, texts)), 2_000_000)]
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate([h for h, _ in parts]), np.concatenate([n for _, n in parts])
+def shingle_sets(texts: list[bytes]) -> list[bytes]:
+    """The distinct hashes of each text's shingles in ascending order, as bytes."""
+    hashes, counts = shingles(texts)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    ends = np.cumsum(np.bincount(owner[fresh], minlength=len(texts)))
+    hashes = hashes[fresh]
+    return [hashes[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends)]
 
 
-def signatures(texts: list[bytes]) -> list[bytes | None]:
-    """HASHES MinHash values of 16 bits for each text; None without shingles."""
+def signatures(texts: list[bytes]) -> tuple[list[bytes | None], np.ndarray]:
+    """HASHES MinHash values of 16 bits for each text, None without shingles; and its number of shingles."""
     hashes, counts = shingles(texts)
     some = np.flatnonzero(counts)
     out: list[bytes | None] = [None] * len(texts)
     if not len(some):
-        return out
+        return out, counts
     starts = (np.cumsum(counts) - counts)[some]
     table = np.empty((len(some), HASHES), np.uint16)
     for k in range(HASHES):
@@ -99,7 +106,7 @@ def signatures(texts: list[bytes]) -> list[bytes | None]:
         table[:, k] = (least >> np.uint64(24)).astype(np.uint16)
     for i, row in zip(some.tolist(), table):
         out[i] = row.tobytes()
-    return out
+    return out, counts
 
 
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[int]:
@@ -181,7 +188,7 @@ def signature_table(column) -> np.ndarray:
 
 
 def sign(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(_id, h1, h2, sig) of every row."""
+    """(_id, h1, h2, sig, n_shingles) of every row."""
     h1, h2 = text_keys(F.coalesce(F.col(text), F.lit("")))
     rows = df.select(F.col(id_col).cast("long").alias("_id"), h1.alias("h1"), h2.alias("h2"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
 
@@ -190,9 +197,10 @@ def sign(df: DataFrame, id_col: str, text: str) -> DataFrame:
             texts = batch.column(3)
             for a, b in slices(pa.compute.binary_length(texts).to_pylist(), 2_000_000):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays(part.columns[:3] + [pa.array(signatures(texts.slice(a, b - a).to_pylist()), pa.binary())], names=["_id", "h1", "h2", "sig"])
+                made, counts = signatures(texts.slice(a, b - a).to_pylist())
+                yield pa.RecordBatch.from_arrays(part.columns[:3] + [pa.array(made, pa.binary()), pa.array(counts, pa.int64())], names=["_id", "h1", "h2", "sig", "n_shingles"])
 
-    return rows.mapInArrow(run, "_id long, h1 long, h2 long, sig binary")
+    return rows.mapInArrow(run, "_id long, h1 long, h2 long, sig binary, n_shingles long")
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -210,14 +218,13 @@ def bands(classes: DataFrame) -> DataFrame:
     return classes.filter("sig IS NOT NULL").select("node", "sig").mapInArrow(run, "key long, node long")
 
 
-def in_blocks(df: DataFrame, size: str, block: int, by: str, own: bool) -> DataFrame:
-    """Split what shares a key: adds i, j (the blocks of a task) and side (the row's own block).
+def in_blocks(df: DataFrame, blocks: Column, by: str, own: bool) -> DataFrame:
+    """Split what shares a key into its number of ``blocks``: adds i, j (the blocks of a task) and side (the row's own block).
 
-    A key of at most ``block`` rows has the one task (0, 0); others have a task for each two blocks i < j, and for each
-    block by itself (i, i) if ``own``.
+    A key of one block has the one task (0, 0); others have a task for each two blocks i < j, and for each block by
+    itself (i, i) if ``own``.
     """
-    n = F.ceil(F.col(size) / block).cast("int")
-    cut = df.withColumn("_n", n).withColumn("side", F.pmod(F.xxhash64(by), F.col("_n").cast("long")).cast("int"))
+    cut = df.withColumn("_n", blocks.cast("int")).withColumn("side", F.pmod(F.xxhash64(by), F.col("_n").cast("long")).cast("int"))
     other = F.sequence(F.lit(0), F.col("_n") - 1)
     if not own:
         other = F.when(F.col("_n") == 1, F.array(F.lit(0))).otherwise(F.filter(other, lambda x: x != F.col("side")))
@@ -235,7 +242,7 @@ def candidate_components(classes: DataFrame) -> DataFrame:
         .filter("size > 1").groupBy("size", "lo", "s1", "s2").agg(F.min("key").alias("key")).select("key", "size", F.col("size").alias("_rows"))
     )
     found = join_facts(keyed, buckets, ["key"], "_rows", classes.filter("sig IS NOT NULL").count() * BANDS, by=["node"])
-    members = in_blocks(found, "size", BUCKET_BLOCK, "node", own=False).select("key", "i", "j", "node")
+    members = in_blocks(found, F.ceil(F.col("size") / BUCKET_BLOCK), "node", own=False).select("key", "i", "j", "node")
     signed = members.join(classes.select("node", "sig"), "node")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = signed.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").select("key", "i", "j", "node", "sig")
@@ -259,16 +266,13 @@ def candidate_components(classes: DataFrame) -> DataFrame:
     return connected_components(dealt.mapInArrow(run, "a long, b long"))
 
 
-def count_links(table: np.ndarray, hashes: np.ndarray, counts: np.ndarray, left: np.ndarray, right: np.ndarray | None, least: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each row, and the least row that links connect it to, among pairs of rows ``left`` x ``right`` (None: within left)."""
+def count_links(table: np.ndarray, values: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray | None, least: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each row, and the least row that links connect it to, among pairs of rows ``left`` x ``right`` (None: within left).
+
+    ``values`` are the rows' shingle sets one after another, of ``sizes`` hashes each.
+    """
     n = len(table)
-    ends = np.cumsum(counts)
-    owner = np.repeat(np.arange(n), counts)
-    order = np.lexsort((hashes, owner))
-    fresh = np.r_[True, (hashes[order][1:] != hashes[order][:-1]) | (owner[order][1:] != owner[order][:-1])] if len(order) else np.zeros(0, bool)
-    owner, values = owner[order][fresh], hashes[order][fresh]
-    _, ids = np.unique(values, return_inverse=True)
-    sizes = np.bincount(owner, minlength=n)
+    ids = np.unique(values, return_inverse=True)[1].astype(np.int32)
     ends = np.cumsum(sizes)
     starts = ends - sizes
     mark = np.zeros(len(values) + 1, np.int32)
@@ -291,9 +295,12 @@ def count_links(table: np.ndarray, hashes: np.ndarray, counts: np.ndarray, left:
             continue
         mine = ids[starts[a] : ends[a]]
         mark[mine] = 1
-        lengths = sizes[near]
-        at = np.repeat(starts[near] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-        common = np.add.reduceat(mark[ids[at]], np.cumsum(lengths) - lengths)
+        lengths, common = sizes[near], np.zeros(len(near), np.int64)
+        for x, y in slices(lengths.tolist(), SHINGLES_AT_ONCE):
+            each = lengths[x:y]
+            before = np.cumsum(each) - each
+            at = np.repeat(starts[near[x:y]] - before, each) + np.arange(each.sum())
+            common[x:y] = np.add.reduceat(mark[ids[at]], before)
         mark[mine] = 0
         # exact: common / union >= threshold, in whole numbers
         percent = round(threshold * 1_000_000)
@@ -307,28 +314,45 @@ def count_links(table: np.ndarray, hashes: np.ndarray, counts: np.ndarray, left:
     return links, np.array([top(x) for x in range(n)], np.int64)
 
 
+def with_sets(texts: DataFrame) -> DataFrame:
+    """(root, blocks, node, sig, _text) with the set of shingles of every text instead of it."""
+
+    def run(batches):
+        for batch in batches:
+            text = batch.column(4)
+            for a, b in slices(pa.compute.binary_length(text).to_pylist(), 1_000_000):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays(part.columns[:4] + [pa.array(shingle_sets(text.slice(a, b - a).to_pylist()), pa.binary())], names=["root", "blocks", "node", "sig", "shingles"])
+
+    return texts.select("root", "blocks", "node", "sig", "_text").mapInArrow(run, "root long, blocks int, node long, sig binary, shingles binary")
+
+
 def verified_links(texts: DataFrame, threshold: float) -> DataFrame:
-    """(node, links, low, split) per text and task, from (root, size, node, sig, _text): low is a node it's linked with."""
+    """(node, links, low, split) per text and task, from (root, blocks, node, sig, _text): low is a node it's linked with.
+
+    Each text is cut into shingles once; its set is what goes to the tasks of its component's blocks.
+    """
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = in_blocks(texts, "size", TEXT_BLOCK, "node", own=True).repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+    dealt = in_blocks(with_sets(texts), F.col("blocks"), "node", own=True).repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
     least = least_matches(threshold)
 
     def run(batches):
         for group in runs_of(batches, ["root", "i", "j"]):
             nodes, once = np.unique(group.column("node").to_numpy(), return_index=True)  # a repeated row comes once
-            group = group.take(pa.array(once))
             if len(nodes) < 2:
                 continue
+            group = group.take(pa.array(once))
             i, j, side = (group.column(c).to_numpy() for c in ("i", "j", "side"))
-            hashes, counts = shingles_by_slices(group.column("_text").to_pylist())
+            sets = group.column("shingles").to_pylist()
+            sizes = np.array([len(x) // 8 for x in sets], np.int64)
             left = np.flatnonzero(side == i)
             right = None if i[0] == j[0] else np.flatnonzero(side == j)
-            links, low = count_links(signature_table(group.column("sig")), hashes, counts, left, right, least, threshold)
+            links, low = count_links(signature_table(group.column("sig")), np.frombuffer(b"".join(sets), np.uint64), sizes, left, right, least, threshold)
             some = np.flatnonzero(links)
-            split = group.column("size").to_numpy()[some] > TEXT_BLOCK
+            split = group.column("blocks").to_numpy()[some] > 1
             yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(links[some]), pa.array(nodes[low[some]]), pa.array(split)], names=["node", "links", "low", "split"])
 
-    return dealt.select("root", "i", "j", "side", "size", "node", "sig", "_text").mapInArrow(run, "node long, links long, low long, split boolean")
+    return dealt.select("root", "i", "j", "side", "blocks", "node", "sig", "shingles").mapInArrow(run, "node long, links long, low long, split boolean")
 
 
 def similarity_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -345,16 +369,17 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     if threshold < THRESHOLD:
         raise ValueError(f"bands and the test propose pairs of {THRESHOLD} or more")
     signed = materialize(sign(df, id_col, text), "signatures")
-    classes = signed.groupBy("h1", "h2").agg(F.min("_id").alias("copy_of"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
+    classes = signed.groupBy("h1", "h2").agg(F.min("_id").alias("copy_of"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     near = materialize(candidate_components(classes), "candidates")
-    sizes = near.groupBy("root").agg(F.count(F.lit(1)).alias("size")).withColumn("_rows", F.col("size"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / TEXT_BLOCK, F.sum("n_shingles") / SHINGLE_BLOCK))
+    sizes = near.join(classes.select("node", "n_shingles"), "node").groupBy("root").agg(blocks.cast("int").alias("blocks"), F.count(F.lit(1)).alias("_rows"))
     sized = join_facts(near, sizes, ["root"], "_rows", near.count(), by=["node"])
-    members = sized.join(classes.drop("copies"), "node").withColumnRenamed("copy_of", "_of")
+    members = sized.join(classes.drop("copies", "n_shingles"), "node").withColumnRenamed("copy_of", "_of")
     h1, h2 = text_keys(F.coalesce(F.col(text), F.lit("")))
     rows = df.select(F.col(id_col).cast("long").alias("_id"), h1.alias("t1"), h2.alias("t2"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
     held = rows.join(members.hint("shuffle_hash"), (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")) & F.col("_id").eqNullSafe(F.col("_of")))
-    links = materialize(verified_links(held.select("root", "size", "node", "sig", "_text"), threshold), "links")
+    links = materialize(verified_links(held, threshold), "links")
     counts = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     # components that fit one task are settled; those of split ones meet here
     settled = links.filter("NOT split").select("node", F.col("low").alias("top"))
@@ -365,7 +390,7 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     rated = join_facts(rated, heads, ["top"], "_n", classes.count(), by=["node"])
     rated = materialize(rated.select("h1", "h2", "copy_of", F.coalesce("n_links", F.lit(0)).alias("n_links"), "head", "copies"), "rated")
     # copies of one text may be a third of all rows; ids may be null or repeated, so rows are dealt by their place too
-    out = join_facts(signed.drop("sig"), rated, ["h1", "h2"], "copies", signed.count(), by=["_id", F.monotonically_increasing_id()])
+    out = join_facts(signed.drop("sig", "n_shingles"), rated, ["h1", "h2"], "copies", signed.count(), by=["_id", F.monotonically_increasing_id()])
     first = F.col("_id").eqNullSafe(F.col("head.copy_of")) & (F.col("h1") == F.col("head.h1")) & (F.col("h2") == F.col("head.h2"))
     return out.select(F.col("_id").alias(id_col), F.col("head.copy_of").alias("class_id"), "copy_of", "n_links", "h1", "h2", first.alias("first"))
 

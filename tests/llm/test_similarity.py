@@ -65,8 +65,11 @@ def test_links_of_odd_rows(spark):
     assert kept.count() == 9  # id 1 has two texts, each in a class of its own
 
 
-def test_no_link_is_lost_among_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "TEXT_BLOCK", 16)
+@pytest.mark.parametrize("texts_each, shingles_each", [(16, 500_000), (512, 1_000)])
+def test_no_link_is_lost_among_near_copies(spark, monkeypatch, texts_each, shingles_each):
+    monkeypatch.setattr(ngram_join, "TEXT_BLOCK", texts_each)
+    monkeypatch.setattr(ngram_join, "SHINGLE_BLOCK", shingles_each)
+    monkeypatch.setattr(ngram_join, "SHINGLES_AT_ONCE", shingles_each)
     monkeypatch.setattr(ngram_join, "BUCKET_BLOCK", 16)
     texts = near_copies(60, 1) + near_copies(40, 2, seed=1) + near_copies(40, 4, seed=2) + near_copies(5, 0, seed=3)
     texts += [" ".join(f"u{k}x{j}" for j in range(50)) for k in range(30)]
