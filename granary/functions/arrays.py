@@ -123,3 +123,54 @@ def array_dims(a: Column, dimensions: int = 1) -> Column:
         out.append(F.concat(F.lit("[1:"), F.size(level).cast("string"), F.lit("]")))
         level = F.get(level, F.lit(0))
     return F.when(F.size(a) > 0, F.concat(*out))
+
+
+def union_ints(a: Column, b: Column) -> Column:
+    """a | b: sorted, each once."""
+    return F.array_sort(F.array_union(a, b))
+
+
+def intersect_ints(a: Column, b: Column) -> Column:
+    """a & b: sorted, each once."""
+    return F.array_sort(F.array_intersect(a, b))
+
+
+def except_ints(a: Column, b: Column) -> Column:
+    """a - b: elements of a that aren't in b, sorted, each once."""
+    return F.array_sort(F.array_except(a, b))
+
+
+def subarray(a: Column, start: int, length: int | None = None) -> Column:
+    """Elements from place ``start`` on (from the end if negative); a negative length leaves off that many at the end."""
+    n = F.size(a)
+    first = F.lit(max(start, 1)) if start >= 0 else F.greatest(n + start, F.lit(0)) + 1
+    count = n - first + 1 if not length else F.lit(length) if length > 0 else n - first + 1 + length
+    return F.when(count > 0, F.slice(a, first, count)).otherwise(F.slice(a, 1, 0))
+
+
+# n-dimensional boxes: arrays of low and high corners of one length
+
+
+def cube_contains(low1: Column, high1: Column, low2: Column, high2: Column) -> Column:
+    """a @> b"""
+    return F.forall(F.zip_with(low1, low2, lambda x, y: x <= y), lambda x: x) & F.forall(F.zip_with(high1, high2, lambda x, y: x >= y), lambda x: x)
+
+
+def cube_union(low1: Column, high1: Column, low2: Column, high2: Column) -> Column:
+    return F.struct(F.zip_with(low1, low2, lambda x, y: F.least(x, y)).alias("low"), F.zip_with(high1, high2, lambda x, y: F.greatest(x, y)).alias("high"))
+
+
+def cube_inter(low1: Column, high1: Column, low2: Column, high2: Column) -> Column:
+    """The shared part; corners are crossed where boxes don't meet."""
+    return F.struct(F.zip_with(low1, low2, lambda x, y: F.greatest(x, y)).alias("low"), F.zip_with(high1, high2, lambda x, y: F.least(x, y)).alias("high"))
+
+
+def cube_size(low: Column, high: Column) -> Column:
+    """Volume."""
+    return F.aggregate(F.zip_with(low, high, lambda x, y: F.abs(y - x).cast("double")), F.lit(1.0), lambda v, side: v * side)
+
+
+def cube_enlarge(low: Column, high: Column, r: float) -> Column:
+    """All sides moved outwards by r; sides that would cross meet in their middle."""
+    moved = F.zip_with(low, high, lambda x, y: F.struct(F.least(x - r, (x + y) / 2).alias("a"), F.greatest(y + r, (x + y) / 2).alias("b")))
+    return F.struct(F.transform(moved, lambda s: s["a"]).alias("low"), F.transform(moved, lambda s: s["b"]).alias("high"))

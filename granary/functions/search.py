@@ -153,3 +153,52 @@ def rank_cd(vector: Column, words: list[str]) -> Column:
     # of stretches with one beginning the first is the shortest
     least = F.filter(covers, lambda c, i: (i == 0) | (F.get(covers, i - 1)["a"] != c["a"]))
     return F.aggregate(least, F.lit(0.0), lambda s, c: s + F.lit(0.1) * len(words) / (c["b"] - c["a"] + 1))
+
+
+# lexemes and weights
+
+
+def strip(vector: Column) -> Column:
+    """tsvector_to_array(strip(vector)): the lexemes, each once, in order."""
+    return F.array_sort(F.array_distinct(F.transform(vector, lambda x: x["lexeme"])))
+
+
+def delete(vector: Column, lexemes: list[str]) -> Column:
+    """ts_delete: without some lexemes."""
+    return F.filter(vector, lambda x: ~x["lexeme"].isin(lexemes))
+
+
+def set_weight(vector: Column, weight: str, lexemes: list[str] | None = None) -> Column:
+    """setweight: every place (of some lexemes) gets a weight A to D; D is the weight of places without one."""
+    chosen = (lambda x: F.lit(True)) if lexemes is None else (lambda x: x["lexeme"].isin(lexemes))
+    return F.transform(vector, lambda x: F.struct(x["lexeme"].alias("lexeme"), x["place"].alias("place"), F.when(chosen(x), weight).otherwise("D").alias("weight")))
+
+
+def filter_weights(vector: Column, weights: list[str]) -> Column:
+    """ts_filter of a vector with weights: the places that have one of them."""
+    return F.filter(vector, lambda x: x["weight"].isin(weights))
+
+
+# dictionaries
+
+
+def int_dictionary(token: Column, max_digits: int = 6, reject_long: bool = False) -> Column:
+    """dict_int: a longer number is cut to its first digits, or is a stop word (an empty array)."""
+    kept = F.array(F.substring(token, 1, max_digits))
+    return F.when(F.length(token) > max_digits, F.array().cast("array<string>")).otherwise(kept) if reject_long else kept
+
+
+def synonym_dictionary(
+    token: Column, rules: dict[str, list[str]], *, keep_original: bool = True, match_original: bool = True,
+    keep_synonyms: bool = True, match_synonyms: bool = False,
+) -> Column:
+    """dict_xsyn: the lexemes for a word of the rules (and for its synonyms, if they match too); null for other words."""
+    found: dict[str, list[str]] = {}
+    for word, synonyms in rules.items():
+        lexemes = [word] * keep_original + synonyms * keep_synonyms
+        for name in [word] * match_original + synonyms * match_synonyms:
+            found.setdefault(name.lower(), lexemes)
+    if not found:
+        return F.lit(None).cast("array<string>")
+    pairs = [c for name, lexemes in found.items() for c in (F.lit(name), F.array(*map(F.lit, lexemes)).cast("array<string>"))]
+    return F.try_element_at(F.create_map(*pairs), F.lower(token))

@@ -313,3 +313,32 @@ def path_length(points: Column, closed: bool = False) -> Column:
 
 def circle_area(radius: Column) -> Column:
     return F.pi() * radius * radius
+
+
+def bit_at(bits: Column, n: Column) -> Column:
+    """get_bit: the n-th bit from 0 on; null outside."""
+    return F.when((n >= 0) & (n < F.length(bits)), F.substring(bits, n + 1, F.lit(1)).cast("int"))
+
+
+def bit_put(bits: Column, n: Column, bit: Column) -> Column:
+    """set_bit: with the n-th bit from 0 on replaced; fails outside."""
+    bad = F.raise_error(F.lit("bit index out of valid range")).cast("string")
+    return F.when((n < 0) | (n >= F.length(bits)), bad).otherwise(F.overlay(bits, bit.cast("string"), n + 1, F.lit(1)))
+
+
+# more of key-value maps
+
+
+def map_slice(m: Column, keys: list[str]) -> Column:
+    """The pairs of some keys."""
+    return F.map_filter(m, lambda k, _: k.isin(keys))
+
+
+def map_minus(a: Column, b: Column) -> Column:
+    """a - b: without the pairs that b has with the same value (nulls are the same)."""
+    return F.map_filter(a, lambda k, v: ~(F.map_contains_key(b, k) & F.element_at(b, k).eqNullSafe(v)))
+
+
+def map_defined(m: Column, key: str) -> Column:
+    """Whether the key has a value that isn't null."""
+    return F.coalesce(F.element_at(m, key).isNotNull(), F.lit(False))

@@ -42,3 +42,37 @@ def partition_bounds(low, high, begin: int, step: int) -> tuple[int, int]:
 def hash_partition(keys: list[str], modulus: int) -> Column:
     """Partition of a row by hash of its keys; satisfies_hash_partition is equality with a remainder."""
     return F.pmod(F.xxhash64(*keys), F.lit(modulus)).cast("int")
+
+
+def _routed(value: Column, cases: list[tuple[Column, int]], default: int | None) -> Column:
+    out = F.lit(default) if default is not None else F.raise_error(F.lit("no partition found for row")).cast("int")
+    for met, k in reversed(cases):
+        out = F.when(met, k).otherwise(out)
+    return out.cast("int")
+
+
+def list_partition(value: Column, lists: list[list], default: int | None = None) -> Column:
+    """PARTITION BY LIST: number of the list that holds the value (None in a list holds null).
+
+    Other values, null too, go to partition ``default``; without one they fail.
+    """
+    met = [F.coalesce(value.isin([x for x in held if x is not None]), F.lit(False)) | (value.isNull() & F.lit(None in held)) for held in lists]
+    return _routed(value, [(m, k) for k, m in enumerate(met)], default)
+
+
+def range_partition(value: Column, bounds: list, default: int | None = None) -> Column:
+    """PARTITION BY RANGE: k for bounds[k] <= value < bounds[k + 1]; None as first or last bound is without end.
+
+    Null and values outside go to partition ``default``; without one they fail.
+    """
+    cases = []
+    for k, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        inside = value.isNotNull()
+        inside = inside if low is None else inside & (value >= F.lit(low))
+        cases.append((F.coalesce(inside if high is None else inside & (value < F.lit(high)), F.lit(False)), k))
+    return _routed(value, cases, default)
+
+
+def shard_group(keys: list[str], slots: int, groups: list[int]) -> Column:
+    """DISTRIBUTE BY SHARD: the group that owns the row's slot; rows are hashed into slots, slots are dealt to groups in turn."""
+    return F.get(F.array(*map(F.lit, groups)), hash_partition(keys, slots) % len(groups))
