@@ -27,12 +27,15 @@ def source_rates(df: DataFrame, source: str, mass: Column, alpha: float, epochs:
     """One row per source: its mass, target weight, mean repetition rate, and the distribution function of one draw.
 
     Without ``targets`` (columns source, weight) the weight is mass ** alpha. rate = epochs * weight share / mass share.
+    Targets count in proportion to the largest, down to 2 ** -40 of it, so they may be shares, percents or masses.
     """
     sums = df.groupBy(F.col(source).alias("_source")).agg(F.sum(mass).alias("_mass"))
     if targets is None:
         weighed = sums.withColumn("_weight", F.when(F.col("_mass") > 0, F.sqrt("_mass") if alpha == 0.5 else F.pow("_mass", F.lit(alpha))).otherwise(0.0))
     else:
-        t = targets.groupBy(F.col("source").alias("_to")).agg(F.sum("weight").alias("_weight"))
+        t = targets.groupBy(F.col("source").alias("_to")).agg(F.sum("weight").cast("double").alias("_to_weight"))
+        t = t.join(F.broadcast(t.agg(F.max("_to_weight").alias("_top"))))  # one row
+        t = t.select("_to", F.when(F.col("_top") > 0, F.col("_to_weight") / F.col("_top") * 2**30).otherwise(0.0).alias("_weight"))
         weighed = sums.join(t, F.col("_source").eqNullSafe(F.col("_to")), "left").drop("_to").na.fill(0.0, ["_weight"])
     totals = weighed.agg(F.sum("_mass").alias("_all_mass"), F.sum(F.round(F.col("_weight") * 1024).cast("long")).alias("_all_weight"))
     shares = weighed.join(F.broadcast(totals))  # one row
@@ -109,9 +112,8 @@ k AS (SELECT *, greatest(1, ceil(rate / 16.0)::INT) AS draws FROM r),
 pmf AS (SELECT source, 0 AS k, exp(-rate / draws) AS p FROM k UNION ALL
   SELECT source, i, exp(-rate / draws + i * ln(rate / draws) - lgamma(i + 1.0)) FROM k, range(1, 121) q(i) WHERE rate > 0),
 cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf),
-u AS (SELECT d.doc_id, d.source, d.t, k.rate, i,
-  ('0x' || substr(md5('5|' || coalesce(doc_id::VARCHAR, '-') || '|' || md5(t) || '|' || i), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
-  FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source, range(1, 100) q(i) WHERE i <= draws),
+v AS (SELECT d.doc_id, d.source, d.t, k.rate, unnest(range(1, k.draws + 1)) AS i FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source),
+u AS (SELECT *, ('0x' || substr(md5('5|' || coalesce(doc_id::VARCHAR, '-') || '|' || md5(t) || '|' || i), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM v),
 n AS (SELECT u.doc_id, u.source, u.t, u.rate, count(c.k) AS n FROM u LEFT JOIN cdf c ON u.source IS NOT DISTINCT FROM c.source AND c.c <= u.u
   WHERE rate > 0 GROUP BY u.doc_id, u.source, u.t, u.rate),
 e AS (SELECT *, unnest(range(0, n)) AS copy_no FROM n)

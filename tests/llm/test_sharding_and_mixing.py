@@ -115,3 +115,14 @@ def test_targets(spark):
     targets = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "source string, weight double")
     got = {r["source"]: r["count"] for r in mixing.mix_sources(df, targets=targets).groupBy("source").count().collect()}
     assert abs(got["a"] - 1000) < 120 and abs(got["b"] - 1000) < 120
+
+
+def test_targets_count_in_proportion_whatever_their_scale(spark):
+    docs = spark.createDataFrame([(i, "x" * 9, f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string")
+    shares = [("s0", 1.0), ("s1", 2.0), ("s2", 0.5)]
+    rates = []
+    for scale in (1.0, 1e-7, 1e9):
+        targets = spark.createDataFrame([(s, w * scale) for s, w in shares], "source string, weight double")
+        got = mixing.source_rates(docs, "source", F.length("text"), 0.5, 1.0, targets).select("_source", F.round("_rate", 6)).collect()
+        rates.append(dict(map(tuple, got)))
+    assert rates[0] == rates[1] == rates[2] == {"s0": 0.857143, "s1": 1.714286, "s2": 0.428571}
